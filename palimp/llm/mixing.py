@@ -28,7 +28,7 @@ def plan_mixture(available: dict[str, int], targets: dict[str, tuple[float, int]
     weight within its repeats. Sources with no tokens or weight stay out and the weights of the rest
     are rescaled. With a larger ``total`` a source gives what its repeats allow, and what it cannot
     give is shared among the others by weight as far as theirs allow."""
-    live = {s: (w, max(1, r)) for s, (w, r) in targets.items() if available.get(s, 0) > 0 and w > 0}
+    live = {s: (w, r) for s, (w, r) in targets.items() if available.get(s, 0) > 0 and w > 0 and r > 0}
     weight = sum(w for w, _ in live.values())
     room = {s: available[s] * r for s, (_, r) in live.items()}
     share = {s: w / weight for s, (w, _) in live.items()}
@@ -55,7 +55,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total: int | None = No
 
     ``targets`` has ``source``, ``weight``, ``max_repeats``: one row per source (of repeated rows the
     largest weight and smallest cap hold; a null or non-positive weight leaves the source out, a null
-    cap is 1). Documents with a null source, a source not listed, or no tokens stay out. ``doc_id``
+    cap is 1, a cap below 1 leaves the source out). Documents with a null source, a source not listed, or no tokens stay out. ``doc_id``
     names a document; repeated rows are repeated uses of their own. Empty inputs give no rows.
 
     Each source's documents are shuffled by hash into blocks of equal tokens that follow each other
@@ -64,7 +64,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total: int | None = No
     hashed slices, so one with most of the rows is not one task."""
     spark = documents.sparkSession
     wanted = targets.groupBy("source").agg(F.max("weight").alias("weight"), F.min("max_repeats").alias("max_repeats")).filter("source is not null and weight > 0")
-    listed = {r["source"]: (float(r["weight"]), int(r["max_repeats"] or 1)) for r in wanted.collect()}  # one row per source
+    listed = {r["source"]: (float(r["weight"]), 1 if r["max_repeats"] is None else int(r["max_repeats"])) for r in wanted.collect()}  # one row per source
     sized = durable(token_counts(documents.filter(F.col("source").isin(list(listed))), ["doc_id", "source"], ranks=ranks).filter("n_tokens > 0"))
     totals = {r["source"]: (int(r["t"]), int(r["n"])) for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
     plan = plan_mixture({s: t for s, (t, _) in totals.items()}, listed, total)
@@ -78,7 +78,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total: int | None = No
     for p in plan.values():
         at += p["goal"] / goal
         edges.append(at)
-    per = spark.createDataFrame([(s, p["available"], p["goal"], max(1, totals[s][1] // SLICE_ROWS)) for s, p in plan.items()], "source string, _all bigint, _goal bigint, _slices bigint")
+    per = spark.createDataFrame([(s, p["available"], p["goal"], p["max_repeats"], max(1, totals[s][1] // SLICE_ROWS)) for s, p in plan.items()], "source string, _all bigint, _goal bigint, max_repeats bigint, _slices bigint")
     point = _golden(F.col("slot"))
     pick = F.lit(list(plan)[-1])
     for s, edge in reversed(list(zip(plan, edges))[:-1]):
@@ -88,11 +88,18 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total: int | None = No
     key = F.xxhash64(F.col("doc_id"), F.lit(seed))
     docs = sized.join(F.broadcast(per), "source").withColumn("_key", key)
     placed = running_total(docs, ["source"], F.pmod(F.col("_key"), F.col("_slices")), [F.col("_key"), F.col("doc_id"), F.col("n_tokens")], F.col("n_tokens"), "_at")
-    # the k-th use of a document lies k times the source's tokens further on; uses begin below the goal
-    uses = F.expr("sequence(0, cast(ceil((_goal - _at) / _all) as int) - 1)")
-    used = placed.filter("_at < _goal").withColumn("repeat_no", F.explode(uses)).withColumn("_rank", F.floor((F.col("_at") + F.col("repeat_no") * F.col("_all")) / F.lit(block)))
+    # the k-th use of a document lies k times the source's tokens further on; uses end within the goal
+    placed = durable(placed)
+    filled = placed.withColumn("_k", F.expr("least(max_repeats - 1, (_goal - _at - n_tokens) div _all)")).filter("_goal - _at - n_tokens >= 0")
+    # and one more use, the one that comes nearest to what is then missing, if it comes nearer than none
+    held = {r["source"]: r for r in filled.groupBy("source").agg(F.sum(F.col("n_tokens") * (F.col("_k") + 1)).alias("t")).collect()}
+    short = spark.createDataFrame([(s, p["goal"] - (held[s]["t"] if s in held else 0)) for s, p in plan.items()], "source string, _gap bigint")
+    free = placed.withColumn("_k", F.greatest(F.lit(0), F.expr("(_goal - _at - n_tokens) div _all + 1 - if(_goal - _at - n_tokens < 0, 1, 0)"))).filter("_k < max_repeats")
+    nearest = free.join(F.broadcast(short), "source").filter("abs(_gap - n_tokens) < _gap").groupBy("source").agg(F.min_by(F.struct("doc_id", "n_tokens", "_at", "_all", F.col("_k").alias("repeat_no")), F.struct(F.abs(F.col("_gap") - F.col("n_tokens")), "doc_id", "_at")).alias("_u")).select("source", "_u.*")
+    uses = filled.withColumn("repeat_no", F.explode(F.expr("sequence(0L, _k)"))).select("source", "doc_id", "n_tokens", "_at", "_all", "repeat_no")
+    used = uses.unionByName(nearest).withColumn("_rank", F.floor((F.col("_at") + F.col("repeat_no") * F.col("_all")) / F.lit(block)))
     # the points of a source may be a few short of its blocks; its last blocks then follow the end
-    return used.join(schedule, ["source", "_rank"], "left").select(F.coalesce("slot", F.lit(slots) + F.col("_rank")).cast("bigint").alias("slot"), "source", "repeat_no", "doc_id", "n_tokens")
+    return used.join(schedule, ["source", "_rank"], "left").select(F.coalesce("slot", F.lit(slots) + F.col("_rank")).cast("bigint").alias("slot"), "source", F.col("repeat_no").cast("int").alias("repeat_no"), "doc_id", "n_tokens")
 
 
 def mixture_shares(mixture: DataFrame, documents_sources: DataFrame, targets: DataFrame) -> DataFrame:
