@@ -54,6 +54,13 @@ def occurrences(terms: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "cand_id bigint, book_id bigint, chapter_idx int, para_idx int, place int, at int").filter("at >= 0")
 
 
+def word_matches(terms: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """``(cand_id, book_id, chapter_idx, para_idx)``: paragraphs of the book with a word equal to the term's
+    ``probe``: an equi-join of words, where containment would compare every term with every paragraph."""
+    words = paragraphs.select("book_id", "chapter_idx", "para_idx", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), 0))).alias("probe"))
+    return terms.filter("probe <> ''").join(words, ["book_id", "probe"]).select("cand_id", "book_id", "chapter_idx", "para_idx")
+
+
 def placements(terms: DataFrame, paragraphs: DataFrame, scope: str = "first-in-book") -> DataFrame:
     """Where notes go: a term's first paragraph in its scope, numbered per book in reading order."""
     group = ["cand_id", *SCOPES[scope]]

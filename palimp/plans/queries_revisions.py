@@ -168,7 +168,10 @@ QUALIFY row_number() OVER (PARTITION BY book_id, chunk_id ORDER BY coalesce(stag
 FROM stg LEFT JOIN pref USING (book_id, chunk_id)
 QUALIFY row_number() OVER (PARTITION BY book_id, chunk_id ORDER BY coalesce(stage = wanted, false) DESC, rank DESC) = 1"""),
     ),
-    "assembled_paragraphs": (lambda s, r: W.assemble(table(s, r, "chunks"), rev(s, r)).select("book_id", "chapter_idx", "para_idx", "stage", F.md5("text").alias("digest")), None),
+    "assembled_paragraphs": (
+        lambda s, r: W.assemble(table(s, r, "chunks"), rev(s, r)).select("book_id", "chapter_idx", "para_idx", "stage", F.md5("text").alias("digest")),
+        w(f"{REV}, {NEWEST}, {EXPECTED}, {VALID}, top AS (SELECT book_id, chunk_id, max(rank) AS top FROM stg GROUP BY ALL), own AS (SELECT DISTINCT book_id, chunk_id, chapter_idx, para_idx AS l FROM chunks WHERE chunk_id IS NOT NULL), best AS (SELECT fine.*, chapter_idx, l FROM fine JOIN own USING (book_id, chunk_id) QUALIFY row_number() OVER (PARTITION BY book_id, chunk_id ORDER BY rank DESC) = 1)",
+          """SELECT book_id, chapter_idx, unnest(l) AS para_idx, stage, md5(trim(unnest(CASE WHEN len(parts) = 1 THEN [content] ELSE parts[2:] END), ' ' || chr(10) || chr(9) || chr(13))) AS digest FROM best""")),
     "unassembled": (lambda s, r: W.unassembled(table(s, r, "chunks"), durable(R.current(rev(s, r), "stage", "book_id", "chunk_id", "created_at", "content", "meta"))), None),
     "grid_changed": (lambda s, r: W.grid(rev(s, r)), w(f"{REV}, {NEWEST}, {GRID}", "SELECT book_id, chunk_id, stage, changed FROM grid")),
     "grid_wide": (
