@@ -9,7 +9,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimp.plans.durable import spread
 
 #: A maximal run of letters; one apostrophe or hyphen between two letters belongs to it.
 TERM = r"\p{L}+(?:['’-]\p{L}+)*"
@@ -98,7 +97,7 @@ def term_table(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     Each block counts with its own integer dictionary before anything is shuffled, so a term that is
     in every record is moved once per block; the shuffled rows are sorted (and may spill) by term, so
     no task holds more than one identifier range of the global dictionary."""
-    blocks = spread(_records(df, keys, text).select("_text")).mapInArrow(_count_blocks, "term string, n_occurrences bigint, n_records bigint")
+    blocks = _records(df, keys, text).select("_text").mapInArrow(_count_blocks, "term string, n_occurrences bigint, n_records bigint")
     return blocks.repartition("term").sortWithinPartitions("term").mapInArrow(_sum_ranges, "term_id bigint, term string, n_occurrences bigint, n_records bigint")
 
 
