@@ -10,7 +10,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimp.plans.durable import spread
 
 LIMIT = 150
 #: A sentence ends here; its last character stays with it.
@@ -191,7 +190,7 @@ def split_oversized(chunks: DataFrame, paragraphs: DataFrame, limit: int = LIMIT
                     out.append({"book_id": book, "chunk_id": chunk} | {k: v for k, v in piece.items() if k not in ("head", "tail")})
             yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")])
 
-    return spread(over).mapInPandas(run, PIECES)
+    return over.mapInPandas(run, PIECES)
 
 
 def p5_pieces(spark, root: str) -> DataFrame:
