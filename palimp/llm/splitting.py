@@ -10,7 +10,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
 LIMIT = 150
 #: A sentence ends here; its last character stays with it.
 SENTENCE_END = regex.compile(r"(?<=[.!?…»])\s+")

@@ -9,7 +9,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
 #: A maximal run of letters; one apostrophe or hyphen between two letters belongs to it.
 TERM = r"\p{L}+(?:['’-]\p{L}+)*"
 #: Identifiers are summed in ranges of this many.
@@ -66,7 +65,7 @@ def _sum_ranges(batches):
         return pa.RecordBatch.from_arrays(columns, names=["term_id", "term", "n_occurrences", "n_records"])
 
     for batch in batches:
-        occ, rec = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        occ, rec = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
         slots, start = [], 0
         for i, term in enumerate(batch.column(0).to_pylist()):
             if term != last:
