@@ -33,19 +33,29 @@ def plain_text(fragment: Column) -> Column:
     return squeeze(F.regexp_replace(fragment, "<[^>]+>", " "))
 
 
+def strip(text: Column) -> Column:
+    """Without ASCII white space at the ends; no regular expression over the whole text."""
+    return F.btrim(text, F.lit(" \t\n\r\f\x0b"))
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated a single time, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip_fences(text: Column) -> Column:
     """The text without a leading ``` line and its closing fence; trimmed."""
-    whole = F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))
-    opened = F.regexp_replace(whole, r"^```[^\n]*(\n|$)", "")
-    closed = F.regexp_replace(opened, r"(^|\n)```[^\n]*$", "")
-    return F.regexp_replace(F.when(whole.startswith("```"), closed).otherwise(whole), r"^\s+|\s+$", "")
+
+    def opened(whole: Column) -> Column:
+        inner = F.regexp_replace(F.regexp_replace(whole, r"^```[^\n]*(\n|$)", ""), r"(^|\n)```[^\n]*$", "")
+        return F.when(whole.startswith("```"), strip(inner)).otherwise(whole)
+
+    return once(strip(text), opened)
 
 
 def split_markers(text: Column) -> Column:
     """The paragraphs behind marker lines, trimmed, numbers unchecked; null without a marker."""
-    parts = F.split(strip_fences(text), MARKER)
-    trimmed = F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
-    return F.when(F.size(parts) > 1, trimmed)
+    return once(F.split(strip_fences(text), MARKER), lambda parts: F.when(F.size(parts) > 1, F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), strip)))
 
 
 def join_markers(paragraphs: Column) -> Column:
@@ -62,7 +72,7 @@ def is_no_changes(text: Column) -> Column:
     is in the reply too."""
     bare = F.trim(text).rlike(r"(?i)^`*\s*NO[_ ]?CHANGES\s*`*$")
     fenced = F.regexp_extract_all(text, F.lit(r"(?s)```[^\n]*\n(.*?)```"), 1)
-    inside = F.exists(fenced, lambda b: F.trim(F.regexp_replace(b, r"^\s+|\s+$", "")).rlike(r"(?i)^`*\s*NO[_ ]?CHANGES\s*`*$"))
+    inside = F.exists(fenced, lambda b: strip(b).rlike(r"(?i)^`*\s*NO[_ ]?CHANGES\s*`*$"))
     return bare | (~text.contains("[") & inside)
 
 

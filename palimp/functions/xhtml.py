@@ -190,7 +190,7 @@ def renumber(root: ET.Element) -> None:
     links = [link for sup in root.iter() if sup.get("class") == MARK for link in sup if local(link) == "a"]
     notes = {e.get("id"): e for e in root.iter() if e.get("class") == ITEM}
     ids = [link.get("href", "")[1:] for link in links]
-    if len(ids) < 2 or not all(i in notes and re.fullmatch(r"reader-note-\d+", i) for i in ids):
+    if len(ids) < 2 or len(set(ids)) < len(ids) or not all(i in notes and re.fullmatch(r"reader-note-\d+", i) for i in ids):
         return
     held = [notes[i] for i in ids]
     for link, item, n in zip(links, held, sorted(int(i.rsplit("-", 1)[1]) for i in ids)):
@@ -212,8 +212,10 @@ def renumber(root: ET.Element) -> None:
 
 def inject(chapters: list[ET.Element], terms: list[tuple[str, str | None, str]], epub3: bool, scope: str = "first-in-book", heading: str = "Notes") -> list[str]:
     """Notes for terms (translation, gender, note; longest first) into a book's chapters, numbered through
-    the book; returns the terms noted. Scope: each term once per book, chapter or paragraph."""
-    number, done, noted = 0, set(), []
+    the book (after notes it already has); returns the terms noted. Scope: each term once per book,
+    chapter or paragraph."""
+    number = max((int(i) for c in chapters for e in c.iter() if e.get("class") == ITEM and (i := e.get("id", "").rsplit("-", 1)[-1]).isdigit()), default=0)
+    done, noted = set(), []
     for chapter in chapters:
         if scope == "first-in-chapter":
             done = set()

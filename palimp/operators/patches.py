@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from palimp.functions.jsonfix import read_patches
 from palimp.functions.text import breaks_dash, escape_ampersands, is_no_changes, plain_text
+from palimp.plans.durable import durable
 
 #: A sentence of at least so many characters proves a mix-up when it turns up in another paragraph.
 BORROWED = 40
@@ -70,7 +71,7 @@ def apply_patches(read: DataFrame, paragraphs: DataFrame, id_col: str) -> DataFr
     patches = read.filter("outcome = 'patches'").select(id_col, F.posexplode("patches").alias("at", "x")).select(id_col, "at", "x.p", F.col("x.text").alias("after"), "x.ok")
     texts = paragraphs.select(id_col, "p", F.col("text").alias("before"))
     sizes = paragraphs.groupBy(id_col).agg(F.max("p").alias("n"))
-    joined = patches.join(sizes, id_col).join(texts, [id_col, "p"], "left")
+    joined = durable(patches.join(sizes, id_col).join(texts, [id_col, "p"], "left"))
     bad = joined.withColumn("_bad", ~F.col("p").between(1, F.col("n"))).groupBy(id_col).agg(F.max("_bad").alias("_bad"))
     taken = borrowed(joined.select(id_col, "at", "p", "after", "before"), paragraphs, id_col).select(id_col, "at").distinct().withColumn("_taken", F.lit(True))
     judged = joined.join(bad, id_col).join(taken, [id_col, "at"], "left")

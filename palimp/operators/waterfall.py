@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimp.functions.text import split_markers
+from palimp.functions.text import once, split_markers, strip
 from palimp.operators.revisions import WATERFALL, age, current, latest_of, stage_rank
 
 GRID = ["reflect", "proofread", "style", "verify"]
@@ -50,10 +50,8 @@ def before(revisions: DataFrame, target: str) -> DataFrame:
 def fragments(content: Column, expected: Column) -> Column:
     """The paragraphs of a revision if it has as many as expected, else null; text without markers
     serves a chunk of one paragraph."""
-    parts = split_markers(content)
-    whole = F.regexp_replace(content, r"^\s+|\s+$", "")
-    single = F.when(parts.isNull() & (expected == 1) & (whole != ""), F.array(whole))
-    return F.coalesce(F.when(F.size(parts) == expected, parts), single)
+    single = F.when((expected == 1) & (strip(content) != ""), F.array(strip(content)))
+    return once(split_markers(content), lambda parts: F.when(parts.isNull(), single).when(F.size(parts) == expected, parts))
 
 
 def valid_before(revisions: DataFrame, counts: DataFrame, target: str | None = None) -> DataFrame:
@@ -62,8 +60,14 @@ def valid_before(revisions: DataFrame, counts: DataFrame, target: str | None = N
     rows = per_stage(revisions)
     if target in WATERFALL:
         rows = rows.filter(F.col("rank") < WATERFALL.index(target) + 1)
-    checked = rows.join(counts, ["book_id", "chunk_id"]).withColumn("paragraphs", fragments(F.col("content"), F.col("n_expected"))).filter("paragraphs is not null")
-    return checked.groupBy("book_id", "chunk_id").agg(F.max_by(F.struct("stage", "seq", "paragraphs"), F.col("rank")).alias("r")).select("book_id", "chunk_id", "r.*")
+    checked = rows.join(counts, ["book_id", "chunk_id"]).withColumn("paragraphs", fragments(F.col("content"), F.col("n_expected")))
+    return checked.groupBy("book_id", "chunk_id").agg(_highest_valid("paragraphs", "stage", "seq").alias("r")).filter("r is not null").select("book_id", "chunk_id", "r.*")
+
+
+def _highest_valid(paragraphs: str, *others: str) -> Column:
+    """The struct of the highest stage that has paragraphs. A filter before the aggregation would be pushed
+    below the column and split every text twice."""
+    return F.max_by(F.struct(*others, paragraphs), F.when(F.col(paragraphs).isNotNull(), F.col("rank")))
 
 
 def assemble(chunks: DataFrame, revisions: DataFrame, preferences: DataFrame | None = None) -> DataFrame:
@@ -72,8 +76,8 @@ def assemble(chunks: DataFrame, revisions: DataFrame, preferences: DataFrame | N
     own = chunks.select("book_id", "chunk_id", "chapter_idx", "para_idx").filter("chunk_id is not null").dropDuplicates(["book_id", "chunk_id"])
     top = resolve(revisions, preferences).select("book_id", "chunk_id", stage_rank(F.col("stage")).alias("_top"))
     rows = per_stage(revisions).join(top, ["book_id", "chunk_id"]).filter("rank <= _top")
-    checked = rows.join(own, ["book_id", "chunk_id"]).withColumn("ps", fragments(F.col("content"), F.size("para_idx"))).filter("ps is not null")
-    best = checked.groupBy("book_id", "chunk_id", "chapter_idx", "para_idx").agg(F.max_by(F.struct("stage", "ps"), F.col("rank")).alias("r"))
+    checked = rows.join(own, ["book_id", "chunk_id"]).withColumn("ps", fragments(F.col("content"), F.size("para_idx")))
+    best = checked.groupBy("book_id", "chunk_id", "chapter_idx", "para_idx").agg(_highest_valid("ps", "stage").alias("r")).filter("r is not null")
     return best.select("book_id", "chapter_idx", F.col("r.stage").alias("stage"), F.explode(F.arrays_zip("para_idx", F.col("r.ps").alias("text"))).alias("x")).select("book_id", "chapter_idx", "x.para_idx", "stage", "x.text")
 
 
@@ -91,7 +95,7 @@ def grid(revisions: DataFrame) -> DataFrame:
     differs from that of the previous stage present; null for the first."""
     rows = per_stage(revisions).filter(F.col("stage") != "repair")
     order = Window.partitionBy("book_id", "chunk_id").orderBy("rank")
-    bare = F.regexp_replace("content", r"^\s+|\s+$", "")
+    bare = strip(F.col("content"))
     prior = F.lag(F.md5(bare)).over(order)
     translated = rows.filter("stage = 'translate'").select("book_id", "chunk_id")
     return rows.withColumn("changed", F.when(prior.isNotNull(), prior != F.md5(bare))).join(translated, ["book_id", "chunk_id"], "left_semi").select("book_id", "chunk_id", "stage", "changed")

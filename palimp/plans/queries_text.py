@@ -9,6 +9,7 @@ from palimp.functions.udfs import parse_replies, slug, unified_diff
 from palimp.operators import chunking, glossary, notes, patches, repair
 from palimp.operators import verdicts as V
 from palimp.operators import waterfall as W
+from palimp.plans.durable import durable
 from palimp.plans.queries_revisions import EXPECTED, JUDGE, NEWEST, ORIGINALS, REV, VALID, expected, originals, rev, w
 from palimp.sources.tables import table
 
@@ -236,4 +237,4 @@ cmp AS (SELECT *, coalesce(known, CASE WHEN n > 1 THEN f END) AS against FROM ro
 def _translated_paragraphs(s, r):
     """The assembled text, paragraph by paragraph, without tags."""
     rows = W.assemble(table(s, r, "chunks"), rev(s, r))
-    return rows.select("book_id", "chapter_idx", "para_idx", X.plain_text(F.col("text")).alias("text"))
+    return durable(rows.select("book_id", "chapter_idx", "para_idx", X.plain_text(F.col("text")).alias("text")))
