@@ -9,7 +9,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimp.llm.language import fold
+from palimp.llm.language import WORD, fold
 from palimp.plans.durable import spread
 
 MARKER = regex.compile(r"^[ \t]*===[ \t]*PARAGRAPH[ \t]+(\d+)[ \t]*===[ \t]*$", regex.M | regex.I)
@@ -30,6 +30,10 @@ OPEN_END = regex.compile(r"(?:<[^<>]*|&[#\w]{0,8}|\\u?[0-9a-fA-F]{0,3})$")
 HEADING_WORDS = 5
 #: A proofreader's full answer that nothing changes.
 NO_CHANGES = regex.compile(r"^[`\s]*(?:no[_ ]?changes?|\[\s*\])[`.\s]*$", regex.I)
+TAGS = regex.compile(r"<[^<>]*>|```[\w-]*")
+#: Stages whose answer is a translation; one with this share of its word pairs in the passage or prompt
+#: gives them back instead.
+COPY_STAGES, COPY_SHARE = ["translate", "reflect"], 0.5
 WHOLE, CUT, ASK = "whole", "cut", "ask"
 
 
@@ -154,23 +158,44 @@ def prompt_passage(prompt: str | None) -> list[str]:
     return [p.strip() for p in parts[2::2]]
 
 
+def bare(text: str) -> str:
+    """The text without marker lines, tags and code fences."""
+    return TAGS.sub(" ", MARKER.sub("", text)) if "<" in text or "=" in text or "`" in text else text
+
+
+def _pairs(text: str) -> set:
+    words = [w.lower() for w in WORD.findall(text)]
+    words = [w for w in words if w != "paragraph"]
+    return set(zip(words, words[1:])) or {(w,) for w in words}
+
+
+def is_copy(text: str, given: list[str]) -> bool:
+    own = _pairs(bare(text))
+    theirs = set().union(*(_pairs(bare(fold(g))) for g in given)) if given else set()
+    if own and all(len(p) == 1 for p in own):
+        theirs |= {(w,) for p in theirs for w in p}
+    return bool(own) and len(own & theirs) >= COPY_SHARE * len(own)
+
+
 def find_cut(df: DataFrame) -> DataFrame:
     """``(completion_id, provider, fld, is_cut)`` for every non-blank ``text`` and ``reasoning``.
 
     Whatever ``finish_reason`` says, a value counts as cut if a string, list, tag, fence, marker or
     quotation stays open, if it ends in a broken character, or if its last sentence has no terminator
-    while the paragraph of ``user_prompt`` that it answers has one. Null and blank values give no row;
+    while the paragraph of ``user_prompt`` that it answers has one. A translation that gives back its
+    passage, altered at the end, is a copy and not cut. Null and blank values give no row;
     repeated rows count once; a null id or provider is kept as null; other columns are ignored."""
-    named = df.select("completion_id", "provider", "user_prompt", "text", "reasoning").filter("text is not null or reasoning is not null")
+    named = df.select("completion_id", "provider", "user_prompt", "text", "reasoning", "stage").filter("text is not null or reasoning is not null")
 
     def run(batches):
         for batch in batches:
-            ids, providers, prompts, texts, reasons = (c.to_pylist() for c in batch.columns)
+            ids, providers, prompts, texts, reasons, stages = (c.to_pylist() for c in batch.columns)
             out: list[list] = [[], [], [], []]
-            for i, provider, prompt, text, reason in zip(ids, providers, prompts, texts, reasons):
+            for i, provider, prompt, text, reason, stage in zip(ids, providers, prompts, texts, reasons, stages):
                 for fld, value in (("text", text), ("reasoning", reason)):
                     if value and value.strip():
                         cut = was_cut(value, (lambda p=prompt: prompt_passage(p)) if fld == "text" else None, fld == "reasoning")
+                        cut = cut and not (fld == "text" and stage in COPY_STAGES and prompt and is_copy(fold(value), [prompt]))
                         for column, x in zip(out, (i, provider, fld, cut)):
                             column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.bool_())], names=["completion_id", "provider", "fld", "is_cut"])

@@ -9,15 +9,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimp.llm.completeness import MARKER, NO_CHANGES, prompt_passage, was_cut, completeness, ASK
-from palimp.llm.language import WORD, differs, fold, language, surely_in
+from palimp.llm.completeness import ASK, COPY_STAGES, MARKER, NO_CHANGES, TAGS, bare, completeness, is_copy, prompt_passage, was_cut
+from palimp.llm.language import differs, fold, language, surely_in
 from palimp.plans.durable import durable, spread
 
 #: Triggered defects in the order that decides which one a record is listed with.
 ORDER = ["empty", "refusal", "copy", "other_language", "truncated"]
 REVISION_STAGES = ["translate", "reflect", "proofread", "style", "verify", "repair"]
-COPY_STAGES = ["translate", "reflect"]
-TAGS = regex.compile(r"<[^<>]*>|```[\w-]*")
 #: A refusal is a whole answer of at most so many characters that declines in its first sentences: what
 #: stands before the telling phrase is short and opens no speech.
 REFUSAL_CHARS, REFUSAL_LEAD = 400, 110
@@ -52,13 +50,6 @@ REFUSAL = regex.compile(
     ),
     regex.I | regex.S,
 )
-#: An answer with this share of its word pairs in the passage or prompt gives them back.
-COPY_SHARE = 0.5
-
-
-def bare(text: str) -> str:
-    """The text without marker lines, tags and code fences."""
-    return TAGS.sub(" ", MARKER.sub("", text)) if "<" in text or "=" in text or "`" in text else text
 
 
 def paragraphs(text: str) -> list[str]:
@@ -90,20 +81,6 @@ def is_refusal(text: str) -> bool:
     return found is not None and found.start() <= REFUSAL_LEAD and not SPEECH_WITHIN.search(body[: found.start()])
 
 
-def _pairs(text: str) -> set:
-    words = [w.lower() for w in WORD.findall(text)]
-    words = [w for w in words if w != "paragraph"]
-    return set(zip(words, words[1:])) or {(w,) for w in words}
-
-
-def is_copy(text: str, given: list[str]) -> bool:
-    own = _pairs(bare(text))
-    theirs = set().union(*(_pairs(bare(fold(g))) for g in given)) if given else set()
-    if own and all(len(p) == 1 for p in own):
-        theirs |= {(w,) for p in theirs for w in p}
-    return bool(own) and len(own & theirs) >= COPY_SHARE * len(own)
-
-
 def strange(text: str, target: str) -> bool:
     """All paragraphs, or all but one, are in a language other than ``target``."""
     if surely_in(text, target):
