@@ -54,7 +54,7 @@ def proposals(s, r):
 def _series(s, r):
     """Books are promoted, in order, into the series of their target language."""
     langs = table(s, r, "books", "book_id", F.col("target_lang").alias("series"))
-    return candidates(s, r).join(F.broadcast(langs), "book_id")
+    return candidates(s, r).join(langs, "book_id")
 
 
 def _promote(s, r):
