@@ -30,8 +30,8 @@ INSIDE_WORD = 6.0
 SEQUENCE = 3.0
 #: Log gain, below 0, of a sequence that decodes to a character unknown to the model.
 STRANGER = -6.0
-#: A single-byte span counts if it changes so many characters, and two letters side by side.
-LEAST_CHANGED = 3
+#: A single-byte span counts if its changed words gain so much over the clean reading.
+WORDS_GAIN = ENTER_SINGLE
 #: A token is looked into when some state explains it better by this much.
 TOKEN_GAIN = 1.5
 #: A line is labelled with the states that are among so many best of one of its tokens.
@@ -44,6 +44,9 @@ LOST = "�"
 #: Characters that clean text of these languages is made of; tokens with others don't train the model.
 EXPECTED = regex.compile(r"[\x20-\x7e\n\tа-яА-ЯёЁіїєґІЇЄҐÀàÂâÇçÉéÈèÊêËëÎîÏïÔôÛûÙùŒœÄäÖöÜüßÁáÍíÓóÚúÑñ¿¡«»“”„‘’…—–→€©№]+")
 
+#: A word in which a changed letter has another beside it.
+WORD = regex.compile(r"\p{L}{2,}")
+
 
 @lru_cache(maxsize=None)
 def _bytes_of(read_as: str) -> dict[str, int]:
@@ -60,12 +63,11 @@ def _bytes_of(read_as: str) -> dict[str, int]:
 
 @lru_cache(maxsize=None)
 def _single(pair: tuple[str, str]) -> dict[str, str]:
+    """Character as seen -> as written; with those that both pages have in one place, as a span runs on over them."""
     out = {}
     for char, b in _bytes_of(pair[1]).items():
         try:
-            x = bytes([b]).decode(pair[0])
-            if x != char:
-                out[char] = x
+            out[char] = bytes([b]).decode(pair[0])
         except UnicodeDecodeError:
             pass
     return out
@@ -229,15 +231,35 @@ class Repairer:
                 else:
                     spans.append([came, i, active[slot - 1], x])
             i, slot = came, source
-        return [tuple(s) for s in reversed(spans) if self.counts(text[s[0] : s[1]], s[3], s[2])]
+        return [tuple(s) for s in reversed(spans) if self.counts(text, *s)]
 
-    def counts(self, seen: str, original: str, state: int) -> bool:
-        """Multi-byte spans that change anything; of single-byte spans those that change enough, so that
-        a lone symbol or soft hyphen in place is not taken for a letter of another page."""
+    def counts(self, text: str, start: int, end: int, state: int, original: str) -> bool:
+        """Multi-byte spans that change anything; single-byte spans whose words, read whole in the line
+        and of two letters at least, gain enough by what is changed in them. Symbols that would become
+        letters with no letter beside them speak for nothing, however many stand in a line; words
+        that come out as strange as they were speak for an alphabet the model doesn't know."""
         if self.states[state][0] == "utf-8":
-            return seen != original
-        changed = [a != b and b.isalpha() for a, b in zip(seen, original)]
-        return sum(changed) >= LEAST_CHANGED and any(a and b for a, b in zip(changed, changed[1:]))
+            return text[start:end] != original
+        while start and text[start - 1].isalpha():
+            start, original = start - 1, text[start - 1] + original
+        while end < len(text) and text[end].isalpha():
+            end, original = end + 1, original + text[end]
+        gain, fitting, strange = 0.0, 0, 0
+        for word in WORD.finditer(original):
+            seen = text[start + word.start() : start + word.end()]
+            if seen == word[0]:
+                continue
+            if self.fits(seen, word[0]):
+                gain += self.likely(word[0]) - self.likely(seen)
+                fitting += 1
+            else:
+                strange += 1
+        return gain > WORDS_GAIN and fitting > strange
+
+    def fits(self, seen: str, word: str) -> bool:
+        """Whether every pair of letters with a changed one in it is known to the model, in proper case."""
+        was, now = f" {seen} ", f" {word} "
+        return all((a + b).lower() in self.model and not (a.islower() and b.isupper()) for c, d, a, b in zip(was, was[1:], now, now[1:]) if (c, d) != (a, b))
 
     def repair(self, text: str | None) -> tuple[bool, str | None, list[str]]:
         """Whether the text holds a wrongly decoded sequence, the text restored as far as it goes, and

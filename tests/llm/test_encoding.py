@@ -34,6 +34,26 @@ def test_single_byte_round_trip(repairer, pair):
         assert repairer.repair(mixed)[1] == RU[1] + "\n" + text
 
 
+def as_seen(text, pair):
+    try:
+        return text.encode(pair[0]).decode(pair[1])
+    except UnicodeError:
+        return text
+
+
+@pytest.mark.parametrize("pair", E.SINGLE_BYTE)
+def test_every_single_byte_pair_round_trips(repairer, pair):
+    texts = [t for t in [*RU[1:3], *DE, *FR, "La rivière était près de la forêt, déjà."] if as_seen(t, pair) != t]
+    assert texts
+    for text in texts:
+        assert repairer.repair(as_seen(text, pair))[:2] == (True, text)
+
+
+@pytest.mark.parametrize("text", ["§ 12 ¶ 3 · 4° ± 2 µm ½ × ¼ ÷ ³", "αβγ Σ π ≤ ≥ Ω Θ ∞ √", "* • ¤ ¬ ¦ µ", "Љубав и Њујорк, Ђорђе Ћирић Џон", "Příliš žluťoučký kůň úpěl ďábelské ódy.", "Zażółć gęślą jaźń, a potem wróć do łóżka.", "Árvíztűrő tükörfúrógép, őrült hűség."])
+def test_symbols_and_other_alphabets_stay(repairer, text):
+    assert repairer.repair(text) == (False, text, [])
+
+
 def test_in_places_and_twice(repairer):
     seen = EN[1].replace("“", "â€œ").replace("’", "â€™")
     assert repairer.repair(seen)[1] == EN[1]
