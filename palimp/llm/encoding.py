@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from functools import lru_cache
-from math import log
+from math import inf, log
 
 import pyarrow as pa
 import regex
@@ -32,10 +32,8 @@ SEQUENCE = 3.0
 STRANGER = -6.0
 #: A single-byte span counts if its changed words gain so much over the clean reading.
 WORDS_GAIN = ENTER_SINGLE
-#: A token is looked into when some state explains it better by this much.
+#: A multi-byte state is tried on a line when it explains a token better by this much.
 TOKEN_GAIN = 1.5
-#: A line is labelled with the states that are among so many best of one of its tokens.
-BEST_STATES = 3
 FLOOR = -13.0
 CASE_BREAK, SCRIPT_BREAK = -4.0, -5.0
 MEMORY_TOKENS = 100_000
@@ -118,9 +116,15 @@ class Repairer:
     def __init__(self, model: dict[str, float]):
         self.model = model
         self.states = [("utf-8", m) for m in MULTI_BYTE] + SINGLE_BYTE
-        self.tokens: dict[str, tuple[int, ...]] = {}
+        self.tokens: dict[str, tuple[tuple[int, float], ...]] = {}
         self.pairs: dict[str, float] = {}
-        self.tables = [None if s[0] == "utf-8" else str.maketrans(_single(s)) for s in self.states]
+        self.singles = [None if s[0] == "utf-8" else {c: c if self.keeps(c, x) else x for c, x in _single(s).items()} for s in self.states]
+        self.tables = [None if t is None else str.maketrans(t) for t in self.singles]
+
+    def keeps(self, char: str, x: str) -> bool:
+        """A no-break space or a mark of clean text that would become a character unknown to the model
+        was set into garbled text later: it stays, in whatever state it is met."""
+        return not char.isalpha() and (char == "\xa0" or char in self.model) and x.lower() not in self.model
 
     def step(self, last: str, char: str) -> float:
         """The log score of a character after another; remembered, as a text has few different pairs."""
@@ -157,19 +161,61 @@ class Repairer:
             return _sequences(read_as).sub(lambda m: x if (x := _decode(read_as, m[0])) is not None else m[0], token)
         return token.translate(self.tables[state])
 
-    def suspects(self, token: str) -> tuple[int, ...]:
-        """The states that explain the token better than the clean one, the ``BEST_STATES`` best of them."""
+    def bounds(self, token: str) -> tuple[tuple[int, float], ...]:
+        """(state, the most that any part of the token gains in it), where that is above 0. Multi-byte
+        states change nothing but their sequences: they are tried, without bound, if the token read
+        with them is better by ``TOKEN_GAIN``."""
         held = self.tokens.get(token)
         if held is None:
-            least = self.likely(token) + TOKEN_GAIN
-            gains = [(value, k) for k in range(len(self.states)) if (x := self.read(k, token)) != token and (value := self.likely(x)) > least]
-            held = tuple(k for _, k in sorted(gains, reverse=True)[:BEST_STATES])
+            found, least = [], self.likely(token) + TOKEN_GAIN
+            for k, (written, _) in enumerate(self.states):
+                if written == "utf-8":
+                    if (x := self.read(k, token)) != token and self.likely(x) > least:
+                        found.append((k, inf))
+                elif (most := self.most(k, token)) > 0:
+                    found.append((k, most))
+            held = tuple(found)
             if len(token) < 64:
                 if len(self.tokens) > MEMORY_TOKENS:
                     self.tokens.clear()
                 self.tokens[token] = held
         return held
 
+    def most(self, state: int, token: str) -> float:
+        """The most that a run of the token's characters gains over the clean reading, entry not paid."""
+        table = self.singles[state]
+        if token.translate(self.tables[state]) == token:
+            return 0.0
+        known, step = self.pairs.get, self.step
+        most, own, last, was = 0.0, None, " ", " "
+        for char in f"{token} ":
+            x = table.get(char, char if char < "\x80" else None)
+            clean = step(was, char) if (v := known(was + char)) is None else v
+            if own is not None:
+                left = own + (step(last, char) if (v := known(last + char)) is None else v) - clean
+                if left > most:
+                    most = left
+            if x is None:
+                own = None
+            else:
+                if own is not None:
+                    own = left if x == char else own + step(last, x) - clean
+                if x != char and (own is None or step(was, x) - clean > own):
+                    own = step(was, x) - clean
+                last = x
+            was = char
+        return most
+
+    def active(self, line: str) -> list[int]:
+        """The states that the best path of a line can enter. A span must gain more than its entry costs,
+        and gains at most what the best parts of the line's tokens do; spaces read the same in every state."""
+        gain: dict[int, float] = {}
+        for token in line.split(" "):
+            if not token.isascii():
+                for k, most in self.bounds(token):
+                    gain[k] = gain.get(k, 0.0) + most
+        return sorted(k for k, most in gain.items() if most > ENTER_SINGLE)
+
     def label(self, text: str, active: list[int]) -> list[tuple[int, int, int, str]]:
         """Viterbi over the characters: spans (start, end, state, original) outside the clean state.
 
@@ -178,7 +224,7 @@ class Repairer:
         n = len(text)
         at = [[None] * (len(active) + 1) for _ in range(n + 1)]  # (score, decoded last, from position, from slot, emitted)
         at[0][0] = (0.0, " ", -1, -1, "")
-        tables = [_single(self.states[k]) if self.states[k][0] != "utf-8" else None for k in active]
+        tables = [self.singles[k] for k in active]
         ends = []
         for k in active:
             written, read_as = self.states[k]
@@ -270,7 +316,7 @@ class Repairer:
         lines = text.split("\n")
         for n, line in enumerate(lines):
             for _ in range(TIMES):
-                active = () if line.isascii() else sorted({k for token in line.split(" ") if not token.isascii() for k in self.suspects(token)})
+                active = () if line.isascii() else self.active(line)
                 spans = self.label(line, active) if active else []
                 for start, end, state, original in reversed(spans):
                     line = line[:start] + original + line[end:]

@@ -54,6 +54,19 @@ def test_symbols_and_other_alphabets_stay(repairer, text):
     assert repairer.repair(text) == (False, text, [])
 
 
+@pytest.mark.parametrize("gap", ["\t", "—", "-"])
+def test_garbled_words_joined_to_clean_ones(repairer, gap):
+    clean = gap.join("Медленно тихий капитан открыл старый дверь".split())
+    words = "письмо под мост".split()
+    seen = gap.join([clean, *(as_seen(w, ("koi8-r", "cp1251")) for w in words)])
+    assert repairer.repair(seen)[:2] == (True, gap.join([clean, *words]))
+
+
+@pytest.mark.parametrize("text", ["Он держал письмо\xa0ЙНЦДЮ НМХ", "Он держал письмо ЙНЦДЮ\xa0НМХ", "Он держал письмо\xa0ЙНЦДЮ\xa0НМХ"])
+def test_garbled_words_behind_a_no_break_space(repairer, text):
+    assert repairer.repair(text)[:2] == (True, text.replace("ЙНЦДЮ", "когда").replace("НМХ", "они"))
+
+
 def test_in_places_and_twice(repairer):
     seen = EN[1].replace("“", "â€œ").replace("’", "â€™")
     assert repairer.repair(seen)[1] == EN[1]
