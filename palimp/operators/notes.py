@@ -61,6 +61,22 @@ def word_matches(terms: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return terms.filter("probe <> ''").join(words, ["book_id", "probe"]).select("cand_id", "book_id", "chapter_idx", "para_idx")
 
 
+def probe_matches(terms: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """``(cand_id, book_id, chapter_idx, para_idx)``: paragraphs of the book that contain the term's probe
+    anywhere, inside longer words too.
+
+    A probe holds no white space, so it lies within one of the words between white space. Probes meet a
+    book's different words on three characters in a row (a shorter probe on all it has), what contains
+    them meets the paragraphs by equality; no term is compared with every paragraph. The different
+    starts of probes, of three characters at most, are broadcast so that only those are shuffled."""
+    wanted = probes(terms).filter("_probe <> ''").select("cand_id", "book_id", "_probe", F.substring("_probe", 1, 3).alias("_key"))
+    words = paragraphs.filter("text is not null").select("book_id", "chapter_idx", "para_idx", F.explode(F.array_distinct(F.split(F.lower("text"), r"(?U)\s+"))).alias("_word"))
+    grams = F.array_distinct(F.concat(*(F.regexp_extract_all("_word", F.lit(f"(?s)(?=({'.' * n}))"), 1) for n in (1, 2, 3))))
+    keyed = words.select("book_id", "_word").distinct().select("book_id", "_word", F.explode(grams).alias("_key")).join(F.broadcast(wanted.select("_key").distinct()), "_key", "left_semi")
+    met = wanted.join(keyed, ["book_id", "_key"]).filter("contains(_word, _probe)").select("cand_id", "book_id", "_word")
+    return met.join(words, ["book_id", "_word"]).select("cand_id", "book_id", "chapter_idx", "para_idx").distinct()
+
+
 def placements(terms: DataFrame, paragraphs: DataFrame, scope: str = "first-in-book") -> DataFrame:
     """Where notes go: a term's first paragraph in its scope, numbered per book in reading order."""
     group = ["cand_id", *SCOPES[scope]]

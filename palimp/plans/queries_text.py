@@ -212,6 +212,8 @@ cmp AS (SELECT *, coalesce(known, CASE WHEN n > 1 THEN f END) AS against FROM ro
         w(f"{CAND}, {PARA}, tok AS (SELECT DISTINCT book_id, chapter_idx, para_idx, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS word FROM para)",
           "SELECT cand_id, chapter_idx, para_idx FROM cand JOIN tok ON tok.book_id = cand.book_id AND tok.word = lower(cand.original) QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY chapter_idx, para_idx) = 1"),
     ),
+    "term_probe_contains": (lambda s, r: _probed(s, r), None),
+    "first_probe_mention": (lambda s, r: _probed(s, r).groupBy("cand_id").agg(F.min(F.struct("chapter_idx", "para_idx")).alias("f")).select("cand_id", "f.*"), None),
     "key_hash": (
         lambda s, r: table(s, r, "completions", "completion_id", "stage", "model", "user_prompt").distinct().select("completion_id", X.content_key(F.col("stage"), F.col("model"), F.col("user_prompt")).alias("key")),
         "SELECT DISTINCT completion_id, sha256(coalesce(stage, '') || chr(31) || coalesce(model, '') || chr(31) || coalesce(user_prompt, '') || chr(31)) AS key FROM completions",
@@ -238,3 +240,9 @@ def _translated_paragraphs(s, r):
     """The assembled text, paragraph by paragraph, without tags."""
     rows = W.assemble(table(s, r, "chunks"), rev(s, r))
     return durable(rows.select("book_id", "chapter_idx", "para_idx", X.plain_text(F.col("text")).alias("text")))
+
+
+def _probed(s, r):
+    """Every term with the translated paragraphs that contain its probe."""
+    terms = candidates(s, r).filter(F.col("translation").rlike(r"(?U)\S")).withColumn("place", F.lit(None).cast("int"))
+    return notes.probe_matches(terms, _translated_paragraphs(s, r))

@@ -4,6 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from palimp.functions.declension import probe
 from palimp.operators import chunking, glossary, notes, patches, repair, snapshots
 from palimp.operators import revisions as R
 from palimp.operators import verdicts as V
@@ -150,6 +151,18 @@ def test_notes(spark):
     assert notes.placements(chosen, texts, "first-in-chapter").count() == 5
 
 
+def test_probe_containment_is_that_of_brute_force(spark):
+    rng = random.Random(5)
+    held = ["Облако", "скрип", "я", "Да", "Старый мост", "Тихая\u00a0гавань", "Орёл", "река", "C++", "🙂ок", " "]
+    terms = [(i, 1 + i % 2, t, "unknown") for i, t in enumerate(held + held)] + [(99, None, "река", "f"), (100, 1, None, None)]
+    bits = ["В Облаках", "заоблачный", "скрипы", "поскрипывал", "да", "вода", "старого моста", "старый", "тихая", "орла", "реки", "прирекать", "c++.", "🙂ок", "«Орёл»", ""]
+    texts = [(1 + i % 2, 0, i, rng.choice([" ", "\u00a0", "\n"]).join(rng.choices(bits, k=rng.randint(0, 5)))) for i in range(60)] + [(None, 0, 0, "река"), (1, 1, 0, None)]
+    got = notes.probe_matches(spark.createDataFrame([(*t, None) for t in terms], "cand_id bigint, book_id bigint, translation string, gender string, place int"), spark.createDataFrame(texts, "book_id bigint, chapter_idx int, para_idx int, text string"))
+    want = {(i, c, p) for i, b, t, g in terms for o, c, p, x in texts if b and b == o and x and (held := probe(t or "", g)) and held in x.lower()}
+    assert as_set(got, "cand_id", "chapter_idx", "para_idx") == want and got.count() == len(want)
+    assert {i for i, _, _ in want} >= {0, 1, 2, 4, 5}
+
+
 def test_snapshots(spark, tmp_path, history):
     folder = str(tmp_path / "prefs")
     assert snapshots.read(spark, folder) is None
