@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimp.llm.completeness import ASK, COPY_STAGES, MARKER, NO_CHANGES, TAGS, bare, completeness, is_copy, prompt_passage, was_cut
-from palimp.llm.language import differs, fold, language, surely_in
+from palimp.llm.language import CYRILLIC, differs, fold, language, surely_in
 from palimp.plans.durable import durable, spread
 
 #: Triggered defects in the order that decides which one a record is listed with.
@@ -21,6 +21,10 @@ REVISION_STAGES = ["translate", "reflect", "proofread", "style", "verify", "repa
 REFUSAL_CHARS, REFUSAL_LEAD = 400, 110
 SPEECH_WITHIN = regex.compile(r"[.!?…]\s*[—–«“„\"]|[«“„]")
 LABEL = regex.compile(r"^[\s*_#>`-]*(?:(?:note|notice|answer|response|assistant|примечание|ответ|примітка|відповідь|hinweis|antwort|nota|respuesta|remarque|réponse)\s*[:：][\s*_]*)?", regex.I)
+#: Letters that no Cyrillic text is made of.
+OTHER_SCRIPT = regex.compile(r"[\p{L}--\p{Cyrillic}]", flags=regex.V1)
+#: A tag or marker that breaks off at the end: no words of a paragraph.
+CUT_MARK = regex.compile(r"(?:</?[A-Za-z][^<>]*|^===[A-Z]*[ \d]*=*)\s*\Z", flags=regex.M)
 SPEECH = regex.compile(r"^\s*[—–«“„\"'‘]")
 #: How models decline, by language.
 REFUSAL = regex.compile(
@@ -82,12 +86,19 @@ def is_refusal(text: str) -> bool:
 
 
 def strange(text: str, target: str) -> bool:
-    """All paragraphs, or all but one, are in a language other than ``target``."""
-    if surely_in(text, target):
+    """All paragraphs, or all but one, are in a language other than ``target``. The quick look at the whole
+    text only counts where no paragraph by itself is in a language of another script."""
+    held = paragraphs(CUT_MARK.sub("", text))
+    if surely_in(text, target) and not any(OTHER_SCRIPT.search(p) and differs(language(p), target) for p in held):
         return False
-    verdicts = [v for p in paragraphs(text) if (v := differs(language(p), target)) is not None]
-    other = sum(verdicts)
-    return other >= 1 and len(verdicts) - other <= 1 and other >= len(verdicts) - other
+    own = other = 0
+    for p in held:
+        verdict = differs(language(p), target)
+        other += verdict is True
+        own += verdict is False
+        if own > 1:
+            return False
+    return other >= 1 and other >= own
 
 
 def defects(text: str | None, target: str | None, translated: bool, may_be_unchanged: bool, passage: Callable[[], list[str]] | None, prompt: str | None = None) -> tuple[list[str], bool]:

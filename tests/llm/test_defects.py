@@ -32,6 +32,21 @@ def test_defects(text, want):
     assert found(text) == want
 
 
+LONG = "Старый дверь открыл медленно, и никто видел река, а он нёс фонарь под мост. " * 6
+
+
+def test_all_but_one_paragraph_with_a_long_one_translated():
+    german = f"===PARAGRAPH 1===\n{LONG}\n===PARAGRAPH 2===\nDie alte Tür war zu.\n===PARAGRAPH 3===\nEr trug eine Laterne."
+    assert D.surely_in(german, "ru") and found(german) == ["other_language"]
+    copied = f"===PARAGRAPH 1===\n{LONG}\n===PARAGRAPH 2===\nThe old door opened slowly, and nobody watched the quiet river.\n===PARAGRAPH 3===\nHe carried a lantern under the bridge."
+    assert D.surely_in(copied, "ru") and found(copied) == ["copy"]
+
+
+@pytest.mark.parametrize("end", ["<p", "<p class=\"a\"", "===PARAGR", "===PARAGRAPH 3"])
+def test_a_cut_tag_or_marker_is_no_language(end):
+    assert not D.strange(f"===PARAGRAPH 1===\n<p>{LONG}</p>\n===PARAGRAPH 2===\n{end}", "ru")
+
+
 def test_proofread_without_changes_is_full():
     for text in ("[]", "```json\n[]\n```", "NO_CHANGES", "`no changes`"):
         assert found(text, stage="proofread") == []
