@@ -214,7 +214,14 @@ class Repairer:
             if not token.isascii():
                 for k, most in self.bounds(token):
                     gain[k] = gain.get(k, 0.0) + most
-        return sorted(k for k, most in gain.items() if most > ENTER_SINGLE)
+        states = sorted(k for k, most in gain.items() if most > ENTER_SINGLE)
+        if len(states) < 2:
+            return states
+        chars, read = {c for c in line if c >= "\x80"}, {}
+        for k in states:
+            table = self.singles[k]
+            read.setdefault(k if table is None else tuple(map(table.get, chars)), k)  # one state of those that read the line alike
+        return sorted(read.values())
 
     def label(self, text: str, active: list[int]) -> list[tuple[int, int, int, str]]:
         """Viterbi over the characters: spans (start, end, state, original) outside the clean state.

@@ -67,6 +67,18 @@ def test_garbled_words_behind_a_no_break_space(repairer, text):
     assert repairer.repair(text)[:2] == (True, text.replace("ЙНЦДЮ", "когда").replace("НМХ", "они"))
 
 
+@pytest.mark.parametrize("pair", E.SINGLE_BYTE)
+def test_states_of_a_line(repairer, pair):
+    """Every distinct reading that pays for its entry is tried, and each once."""
+    for text in [RU[1], RU[2], DE[0], "La rivière était près de la forêt, déjà."]:
+        seen = as_seen(text, pair)
+        if seen != text:
+            active = repairer.active(seen)
+            assert text in [repairer.read(k, seen) for k in active]
+            single = [tuple(repairer.singles[k].get(c) for c in seen if c >= "\x80") for k in active if repairer.states[k][0] != "utf-8"]
+            assert len(single) == len(set(single))
+
+
 def test_in_places_and_twice(repairer):
     seen = EN[1].replace("“", "â€œ").replace("’", "â€™")
     assert repairer.repair(seen)[1] == EN[1]
