@@ -8,7 +8,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-from palimp.functions.declension import opens_sentence, pattern
+from palimp.functions.declension import pattern
 
 XHTML, OPS = "http://www.w3.org/1999/xhtml", "http://www.idpf.org/2007/ops"
 ET.register_namespace("", XHTML)
@@ -19,6 +19,7 @@ MARK, BLOCK, TITLE, ITEM, BODY, BACK = "reader-note", "reader-notes", "reader-no
 VOID = {"br", "hr", "img", "meta", "link", "input", "col", "area", "base", "wbr"}
 _ENTITY = re.compile(r"&(\w+);")
 _BARE = re.compile(r"&(?!(?:\w+|#\d+|#x[0-9a-fA-F]+);)")
+_KNOWN = {"amp", "lt", "gt", "quot", "apos"}
 
 
 class _Tree(HTMLParser):
@@ -56,12 +57,26 @@ class _Tree(HTMLParser):
             at.text = (at.text or "") + data
 
 
+def well_formed(fragment: str | None) -> bool:
+    """Whether a fragment, markup or plain text, parses once bare ampersands are escaped; named entities
+    count as text."""
+    if fragment is None:
+        return False
+    if "<" not in fragment and "&" not in fragment and "]]>" not in fragment and fragment.isprintable():
+        return True
+    body = _ENTITY.sub(lambda m: m[0] if m[1] in _KNOWN else "", _BARE.sub("&amp;", fragment))
+    try:
+        ET.fromstring(f"<x>{body}</x>")
+    except ET.ParseError:
+        return False
+    return True
+
+
 def read(content: bytes) -> ET.Element:
     """The document's root. Named entities become characters, bare ampersands text; what is still not
     well formed is read as HTML."""
     text = content.decode("utf-8-sig", "replace")
-    known = {"amp", "lt", "gt", "quot", "apos"}
-    clean = _ENTITY.sub(lambda m: m[0] if m[1] in known else html.entities.html5.get(m[1] + ";", "&amp;" + m[1] + ";"), _BARE.sub("&amp;", text))
+    clean = _ENTITY.sub(lambda m: m[0] if m[1] in _KNOWN else html.entities.html5.get(m[1] + ";", "&amp;" + m[1] + ";"), _BARE.sub("&amp;", text))
     try:
         return ET.fromstring(re.sub(r"^\s*<\?xml[^>]*\?>", "", clean))
     except ET.ParseError:
@@ -135,8 +150,6 @@ def mark(paragraph: ET.Element, term: str, gender: str | None, number: int) -> b
     nodes = list(_nodes(paragraph))
     text = "".join(n[2] for n in nodes)
     for held in forms.finditer(text) if forms else ():
-        if term[:1].isupper() and (not held[0][:1].isupper() or opens_sentence(text, held.start())):
-            continue
         start = 0
         for owner, parent, part, usable in nodes:
             if start <= held.start() < start + len(part):

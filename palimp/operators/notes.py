@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimp.functions.declension import find, probe
+from palimp.functions.declension import LETTER, find, join_keys, probe
+from palimp.plans.ranking import running_total
 
 SCOPES = {"first-in-book": ["book_id"], "first-in-chapter": ["book_id", "chapter_idx"], "all": ["book_id", "chapter_idx", "para_idx"]}
 
@@ -15,35 +16,41 @@ def eligible(entries: DataFrame, types: list[str]) -> DataFrame:
     """Entries of the types with notes and a translation that is not blank, with ``place``: longest
     translation first within the book, then as entered."""
     rows = entries.filter(F.col("type").isin(types) & (F.coalesce(F.col("notes"), F.lit("")) != "") & F.col("translation").rlike(r"(?U)\S"))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("book_id").orderBy(F.length("translation").desc(), "cand_id")))
+    ranked = running_total(rows, ["book_id"], -F.length("translation"), [F.col("cand_id")], F.lit(1), "place")
+    return ranked.withColumn("place", (F.col("place") + 1).cast("int"))
 
 
-def probes(terms: DataFrame) -> DataFrame:
-    """Adds ``_first``: the first word of the probe, what a paragraph's words must begin with."""
-    kind = "cand_id bigint, book_id bigint, translation string, gender string, place int, _probe string"
+def _with(terms: DataFrame, name: str, kind: str, made) -> DataFrame:
+    """Terms with ``name``, what ``made(translation, gender)`` says of each."""
+    out = pa.list_(pa.string()) if kind.startswith("array") else pa.string()
 
     def run(batches):
         for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in (2, 3)))
-            held = [probe(t or "", g) for t, g in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held, pa.string())], names=[*batch.schema.names, "_probe"])
+            held = [made(t or "", g) for t, g in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held, out)], names=[*batch.schema.names, name])
+
+    return terms.select("cand_id", "book_id", "translation", "gender", "place").mapInArrow(run, f"cand_id bigint, book_id bigint, translation string, gender string, place int, {name} {kind}")
+
+
+def probes(terms: DataFrame) -> DataFrame:
+    return _with(terms, "_probe", "string", probe)
+
 
-    return terms.select("cand_id", "book_id", "translation", "gender", "place").mapInArrow(run, kind)
+def words_of(paragraphs: DataFrame, to: str) -> DataFrame:
+    """``(book_id, chapter_idx, para_idx, to)``: the different lower-case words of every paragraph."""
+    return paragraphs.filter("text is not null").select("book_id", "chapter_idx", "para_idx", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"{LETTER}+"), 0))).alias(to))
 
 
 def occurrences(terms: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """``(cand_id, book_id, chapter_idx, para_idx, at, place)``: every paragraph that holds a term so
     that it counts, with the place of its first match.
 
-    A term can only occur in a paragraph with a word that begins with its probe's first word. Both sides
-    meet on the book and the first three characters of that word, so no book is joined whole; the
-    pattern is run on what meets. A probe shorter than that meets on its one or two characters."""
-    wanted = probes(terms).filter("_probe <> ''").withColumn("_w", F.regexp_extract("_probe", r"(?U)\w+", 0)).withColumn("_key", F.substring("_w", 1, 3))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), 0))
-    keys = F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(F.substring(w, 1, 1), F.substring(w, 1, 2), F.substring(w, 1, 3)))))
-    keyed = paragraphs.filter("text is not null").select("book_id", "chapter_idx", "para_idx", F.explode(keys).alias("_key"))
-    met = wanted.filter("_key <> ''").join(keyed, ["book_id", "_key"]).select("cand_id", "book_id", "translation", "gender", "place", "_probe", "chapter_idx", "para_idx").distinct()
-    texts = met.join(paragraphs.select("book_id", "chapter_idx", "para_idx", "text"), ["book_id", "chapter_idx", "para_idx"]).filter("contains(lower(text), _probe)")
+    A term is expanded into the words one of which such a paragraph must have (its declined forms, or the
+    first of its words), and meets the book's paragraphs on them: an equi-join on (book, word), spread
+    over all words however large a book is. Only what meets is searched with the term's pattern."""
+    wanted = _with(terms, "_keys", "array<string>", lambda t, g: list(join_keys(t, g))).withColumn("_word", F.explode("_keys")).drop("_keys")
+    met = wanted.join(words_of(paragraphs, "_word"), ["book_id", "_word"]).drop("_word").distinct()
+    texts = met.join(paragraphs.select("book_id", "chapter_idx", "para_idx", "text"), ["book_id", "chapter_idx", "para_idx"])
 
     def run(batches):
         for batch in batches:
@@ -57,8 +64,7 @@ def occurrences(terms: DataFrame, paragraphs: DataFrame) -> DataFrame:
 def word_matches(terms: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """``(cand_id, book_id, chapter_idx, para_idx)``: paragraphs of the book with a word equal to the term's
     ``probe``: an equi-join of words, where containment would compare every term with every paragraph."""
-    words = paragraphs.select("book_id", "chapter_idx", "para_idx", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), 0))).alias("probe"))
-    return terms.filter("probe <> ''").join(words, ["book_id", "probe"]).select("cand_id", "book_id", "chapter_idx", "para_idx")
+    return terms.filter("probe <> ''").join(words_of(paragraphs, "probe"), ["book_id", "probe"]).select("cand_id", "book_id", "chapter_idx", "para_idx")
 
 
 def probe_matches(terms: DataFrame, paragraphs: DataFrame) -> DataFrame:
@@ -82,5 +88,5 @@ def placements(terms: DataFrame, paragraphs: DataFrame, scope: str = "first-in-b
     group = ["cand_id", *SCOPES[scope]]
     first = occurrences(terms, paragraphs).groupBy(*group).agg(F.min(F.struct("chapter_idx", "para_idx", "at", "place")).alias("r"), F.first("book_id").alias("_b"))
     rows = first.select("cand_id", F.col("_b").alias("book_id"), "r.*")
-    number = F.row_number().over(Window.partitionBy("book_id").orderBy("chapter_idx", "para_idx", "at", "place", "cand_id"))
-    return rows.select("cand_id", "book_id", "chapter_idx", "para_idx", "at", number.alias("number"))
+    order = [F.col(c) for c in ("para_idx", "at", "place", "cand_id")]
+    return running_total(rows, ["book_id"], F.col("chapter_idx"), order, F.lit(1), "number").select("cand_id", "book_id", "chapter_idx", "para_idx", "at", (F.col("number") + 1).cast("int").alias("number"))
