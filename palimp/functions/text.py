@@ -10,7 +10,10 @@ MARKER = r"(?m)^===PARAGRAPH\s+\d+===\s*$"
 #: Fixed value: an ampersand that starts no entity.
 BARE_AMPERSAND = r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9a-fA-F]+);)"
 #: Languages by their base subtag.
-LANGUAGE_NAMES = {"en": "English", "ru": "Russian", "hu": "Hungarian", "de": "German", "fr": "French", "es": "Spanish", "it": "Italian", "pt": "Portuguese", "pl": "Polish", "uk": "Ukrainian", "cs": "Czech", "nl": "Dutch", "sv": "Swedish", "fi": "Finnish", "tr": "Turkish", "ja": "Japanese", "zh": "Chinese", "ko": "Korean", "ro": "Romanian", "bg": "Bulgarian"}
+LANGUAGE_NAMES = {
+    "ru": "Russian", "de": "German", "fr": "French", "es": "Spanish", "it": "Italian", "pt": "Portuguese", "nl": "Dutch", "pl": "Polish", "uk": "Ukrainian", "zh": "Chinese",
+    "ja": "Japanese", "ko": "Korean", "ar": "Arabic", "tr": "Turkish", "sv": "Swedish", "no": "Norwegian", "da": "Danish", "fi": "Finnish", "cs": "Czech", "hu": "Hungarian",
+}
 
 
 def words(text: Column) -> Column:
@@ -92,10 +95,12 @@ def content_key(*parts: Column) -> Column:
     return F.sha2(F.concat(*[x for p in parts for x in (F.coalesce(p.cast("string"), F.lit("")), F.lit("\x1f"))]), 256)
 
 
-def language_name(code: Column) -> Column:
-    """The name of a language tag's base language, else the tag."""
+def language_name(code: Column, given: Column | None = None) -> Column:
+    """The name ``given`` for a language if there is one, else that of its tag's base language; null where the
+    list has none."""
     names = F.create_map(*[x for k, v in LANGUAGE_NAMES.items() for x in (F.lit(k), F.lit(v))])
-    return F.coalesce(F.try_element_at(names, F.lower(F.split(F.regexp_replace(code, "_", "-"), "-")[0])), code)
+    listed = F.try_element_at(names, F.split(F.replace(F.lower(code), F.lit("_"), F.lit("-")), "-")[0])
+    return listed if given is None else F.coalesce(F.nullif(given, F.lit("")), listed)
 
 
 def normalize_path(path: Column) -> Column:

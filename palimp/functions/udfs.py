@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimp.functions.jsonfix import parse
-from palimp.operators.revisions import current
+from palimp.functions.xhtml import well_formed
 
 
 def slugify(text: str | None, fallback: str = "book") -> str:
@@ -53,11 +53,53 @@ def parse_replies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return named.mapInArrow(run, f"{id_col} {named.schema[id_col].dataType.simpleString()}, ok boolean, score int, n_issues int")
 
 
-def unified_diff(revisions: DataFrame) -> DataFrame:
-    """``(seq, prev_seq, n_removed, n_added, diff)`` of consecutive revisions of a chunk, verdicts aside."""
-    rows = current(revisions, "stage", "book_id", "chunk_id", "created_at", "content").filter("chunk_id is not null and stage <> 'judge'")
+def _valid_from_the_end(texts: list | None) -> int:
+    """The place of the last list of fragments that are all well formed, or -1."""
+    for i in range(len(texts or ()) - 1, -1, -1):
+        if all(map(well_formed, texts[i])):
+            return i
+    return -1
+
+
+def last_well_formed(df: DataFrame, col: str, to: str) -> DataFrame:
+    """Replaces ``col``, an array of structs that have ``paragraphs``, by ``to``: the last of the structs whose
+    paragraphs all parse, else null. Fragments are plain text or markup."""
+    kind = df.schema[col].dataType.elementType
+    rest = [f for f in df.schema.fields if f.name != col]
+
+    def run(batches):
+        for batch in batches:
+            held = batch.column(batch.schema.get_field_index(col))
+            best = []
+            for row in held.to_pylist():
+                at = _valid_from_the_end([x["paragraphs"] for x in row or ()])
+                best.append(row[at] if at >= 0 else None)
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in rest), pa.array(best, held.type.value_type)], names=[*(f.name for f in rest), to])
+
+    return df.mapInArrow(run, T.StructType([*rest, T.StructField(to, kind)]))
+
+
+def first_malformed(df: DataFrame, col: str, to: str) -> DataFrame:
+    """Adds ``to``: the number (from 1) of the first fragment of the array ``col`` that does not parse; 0 if all
+    do, null for null."""
+
+    def run(batches):
+        for batch in batches:
+            found = [None if v is None else next((i for i, x in enumerate(v, 1) if not well_formed(x)), 0) for v in batch.column(batch.schema.get_field_index(col)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], names=[*batch.schema.names, to])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(to, T.IntegerType())]))
+
+
+def unified_diff(revisions: DataFrame, chunk: str | None = None, stages: list[str] | None = None) -> DataFrame:
+    """``(seq, prev_seq, n_removed, n_added, diff)`` of consecutive revisions of a chunk, verdicts aside; of
+    one ``chunk`` or some ``stages`` only, if given."""
+    held = revisions.filter("stage <> 'judge'" if stages is None else F.col("stage").isin(stages)).filter("seq is not null")
+    held = held.select("seq", "book_id", "created_at", "content", F.coalesce("chunk_id", F.try_variant_get(F.try_parse_json("meta"), "$.chunk_id", "string")).alias("chunk_id"))
+    held = held.filter(F.col("chunk_id").isNotNull() if chunk is None else F.col("chunk_id") == chunk)
     order = Window.partitionBy("book_id", "chunk_id").orderBy("created_at", "seq")
-    pairs = rows.select("seq", F.lag("seq").over(order).alias("prev_seq"), F.lag("content").over(order).alias("_a"), F.col("content").alias("_b")).filter("prev_seq is not null")
+    # a repeat stands beside its like, so it is told by its own seq before it
+    pairs = held.select("seq", F.lag("seq").over(order).alias("prev_seq"), F.lag("content").over(order).alias("_a"), F.col("content").alias("_b")).filter("prev_seq <> seq")
 
     def run(batches):
         for batch in batches:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,16 +23,39 @@ def pack(paragraphs: DataFrame, target: int = TARGET_WORDS) -> DataFrame:
 
     Per chapter, a chunk is closed when it is not empty and the next paragraph would exceed ``target``;
     a paragraph above the target stands alone; chunks do not cross chapters. Null and blank paragraphs
-    hold no words. The fold runs inside one expression per chapter, after the only shuffle."""
-    counted = distinct_paragraphs(paragraphs).withColumn("n", word_count(F.col("text")))
-    chapters = counted.groupBy("book_id", "chapter_idx").agg(F.array_sort(F.collect_list(F.struct("para_idx", "n"))).alias("ps"))
-    start = "named_struct('held', 0, 'n', 0, 'no', 1, 'out', cast(array() as array<int>))"
-    step = f"""(a, p) -> if(a.held > 0 and a.n + p.n > {int(target)},
-        named_struct('held', 1, 'n', p.n, 'no', a.no + 1, 'out', array_append(a.out, a.no + 1)),
-        named_struct('held', a.held + 1, 'n', a.n + p.n, 'no', a.no, 'out', array_append(a.out, a.no)))"""
-    numbered = chapters.select("book_id", "chapter_idx", F.explode(F.arrays_zip("ps", F.expr(f"aggregate(ps, {start}, {step}).out").alias("no"))).alias("x"))
-    rows = numbered.select("book_id", "chapter_idx", F.col("x.no").alias("chunk_no"), F.col("x.ps.para_idx").alias("p"), F.col("x.ps.n").alias("n"))
-    return rows.groupBy("book_id", "chapter_idx", "chunk_no").agg(F.array_sort(F.collect_list("p")).alias("para_idx"), F.sum("n").cast("bigint").alias("word_count"))
+    hold no words. Words are counted where texts are read; the fold runs over numbers only, in one pass
+    over a chapter's sorted rows with one open chunk in memory, however long the chapter."""
+    counted = paragraphs.filter("book_id is not null and chapter_idx is not null and para_idx is not null")
+    # of differing texts of a place the smallest holds, as in distinct_paragraphs; its count goes with it
+    one = counted.groupBy("book_id", "chapter_idx", "para_idx").agg(F.min_by(word_count(F.col("text")), F.col("text")).alias("n")).select("book_id", "chapter_idx", "para_idx", F.coalesce("n", F.lit(0)).alias("n"))
+    rows = one.repartition("book_id", "chapter_idx").sortWithinPartitions("book_id", "chapter_idx", "para_idx")
+
+    def run(batches):
+        at, no, held, total = None, 0, [], 0
+        out: list[tuple] = []
+
+        def flush():
+            nonlocal out
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int64()]
+            made = pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=["book_id", "chapter_idx", "chunk_no", "para_idx", "word_count"])
+            out = []
+            return made
+
+        for batch in batches:
+            for book, chapter, p, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if (book, chapter) != at or (held and total + n > target):
+                    if held:
+                        out.append((*at, no, held, total))
+                    no = no + 1 if (book, chapter) == at else 1
+                    at, held, total = (book, chapter), [], 0
+                held.append(p)
+                total += n
+            yield flush()
+        if held:
+            out.append((*at, no, held, total))
+            yield flush()
+
+    return rows.mapInArrow(run, "book_id bigint, chapter_idx int, chunk_no int, para_idx array<int>, word_count bigint")
 
 
 def with_ids(chunks: DataFrame) -> DataFrame:

@@ -2,32 +2,17 @@
 
 from __future__ import annotations
 
-import xml.etree.ElementTree as ET
-
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimp.functions.jsonfix import read_patches
-from palimp.functions.text import breaks_dash, escape_ampersands, is_no_changes, plain_text
+from palimp.functions.text import breaks_dash, is_no_changes, join_markers, plain_text
+from palimp.functions.xhtml import well_formed
 from palimp.plans.durable import durable
 
 #: A sentence of at least so many characters proves a mix-up when it turns up in another paragraph.
 BORROWED = 40
-_AMPERSAND = regex.compile(r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9a-fA-F]+);)")
-
-
-def well_formed(fragment: str | None) -> bool:
-    """Whether a fragment parses as XHTML once bare ampersands are escaped; named entities count as text."""
-    if fragment is None:
-        return False
-    body = regex.sub(r"&(?!amp;|lt;|gt;|quot;|apos;|#)[A-Za-z]\w*;", "", _AMPERSAND.sub("&amp;", fragment))
-    try:
-        ET.fromstring(f"<x>{body}</x>")
-    except ET.ParseError:
-        return False
-    return True
 
 
 def read_replies(replies: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -84,6 +69,21 @@ def apply_patches(read: DataFrame, paragraphs: DataFrame, id_col: str) -> DataFr
     return judged.join(last, [id_col, "p"], "left").select(id_col, "at", "p", "before", "after", final.alias("verdict"))
 
 
+def patched(read: DataFrame, paragraphs: DataFrame, id_col: str) -> DataFrame:
+    """``(id, outcome, changed, paragraphs, text)`` for every reply of ``read`` that has paragraphs: its text
+    after the patches, with markers. ``outcome`` is that of the reply, or ``out_of_range`` where a patch's
+    number is outside; both that and ``rejected`` have no text. Without patches the text is unchanged."""
+    applied = apply_patches(read, paragraphs, id_col)
+    bad = applied.filter("verdict = 'out_of_range'").select(id_col).distinct().withColumn("_bad", F.lit(True))
+    made = applied.filter("verdict = 'applied'").select(id_col, "p", F.col("after").alias("_after"))
+    now = paragraphs.join(made, [id_col, "p"], "left").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("p", F.coalesce("_after", "text").alias("text")))).alias("_ps"), F.max(F.coalesce(F.col("_after") != F.col("text"), F.lit(False))).alias("_changed"))
+    joined = read.select(id_col, "outcome").join(now, id_col).join(bad, id_col, "left")
+    outcome = F.when(F.col("_bad"), "out_of_range").otherwise(F.col("outcome"))
+    kept = lambda c: F.when(outcome.isin("patches", "no_changes"), c)
+    texts = F.transform("_ps", lambda x: x["text"])
+    return joined.select(id_col, outcome.alias("outcome"), kept(F.col("_changed")).alias("changed"), kept(texts).alias("paragraphs"), kept(join_markers(texts)).alias("text"))
+
+
 def borrowed(patches: DataFrame, paragraphs: DataFrame, id_col: str) -> DataFrame:
     """Patches ``(id, at, p, after, before)`` with a sentence of ``BORROWED`` characters or more of another
     paragraph of the same reply that their own lacks. The sentences of a reply meet its patches on an
@@ -92,6 +92,3 @@ def borrowed(patches: DataFrame, paragraphs: DataFrame, id_col: str) -> DataFram
     mine = patches.withColumn("_a", plain_text(F.col("after"))).withColumn("_b", plain_text(F.col("before")))
     return mine.join(sentences, id_col).filter("_other <> p and contains(_a, _s) and not coalesce(contains(_b, _s), false)").select(id_col, "at", "p", F.col("_other").alias("other"))
 
-
-def escaped(fragments: DataFrame, col: str) -> DataFrame:
-    return fragments.withColumn(col, escape_ampersands(F.col(col)))

@@ -26,13 +26,20 @@ def age() -> Column:
     return F.struct("created_at", "seq")
 
 
-def current(revisions: DataFrame, *columns: str) -> DataFrame:
-    """One row per ``seq`` (repeats count once) with ``chunk_id`` taken from meta in legacy rows, pruned
-    to ``columns``. Only the columns asked for are shuffled."""
-    wanted = list(columns) or [c for c in revisions.columns if c != "seq"]
+def rows(revisions: DataFrame, *columns: str, stages: list[str] | None = None) -> DataFrame:
+    """The table as stored, repeats included, with ``chunk_id`` taken from meta in legacy rows: ``seq`` and
+    ``columns`` of the given stages, both pushed to the scan. For readers that repeats cannot mislead,
+    such as those that take the newest row."""
+    if stages is not None:
+        revisions = revisions.filter(F.col("stage") == stages[0] if len(stages) == 1 else F.col("stage").isin(stages))
     chunk = F.coalesce("chunk_id", meta_field(F.col("meta"), "$.chunk_id")).alias("chunk_id")
-    picked = revisions.filter("seq is not null").select("seq", *[chunk if c == "chunk_id" else c for c in wanted if c != "seq"])
-    return picked.dropDuplicates(["seq"])
+    return revisions.filter("seq is not null").select("seq", *[chunk if c == "chunk_id" else c for c in columns if c != "seq"])
+
+
+def current(revisions: DataFrame, *columns: str, stages: list[str] | None = None) -> DataFrame:
+    """``rows`` with repeats, which are unchanged rows, counted once. For readers that count: callers name
+    lean columns only, as they are what is shuffled."""
+    return rows(revisions, *columns, stages=stages).distinct()
 
 
 def upsert(revisions: DataFrame) -> DataFrame:
@@ -55,30 +62,35 @@ def stage_stats(revisions: DataFrame) -> DataFrame:
 
 
 def chunk_ids_of(revisions: DataFrame, stage: str) -> DataFrame:
-    return current(revisions, "stage", "book_id", "chunk_id").filter((F.col("stage") == stage) & F.col("chunk_id").isNotNull()).select("book_id", "chunk_id").distinct()
+    return rows(revisions, "book_id", "chunk_id", stages=[stage]).filter("chunk_id is not null").select("book_id", "chunk_id").distinct()
 
 
 def latest_of(revisions: DataFrame, stage: str) -> DataFrame:
-    """The newest revision of one stage for every chunk."""
-    rows = current(revisions, "stage", "book_id", "chunk_id", "created_at", "content").filter((F.col("stage") == stage) & F.col("chunk_id").isNotNull())
-    return rows.groupBy("book_id", "chunk_id").agg(F.max_by(F.struct("seq", "content"), age()).alias("r")).select("book_id", "chunk_id", "r.seq", "r.content")
+    """The newest revision of one stage for every chunk; the stage reaches the scan, one shuffle."""
+    held = rows(revisions, "book_id", "chunk_id", "created_at", "content", stages=[stage]).filter("chunk_id is not null")
+    return held.groupBy("book_id", "chunk_id").agg(F.max_by(F.struct("seq", "content"), age()).alias("r")).select("book_id", "chunk_id", "r.seq", "r.content")
 
 
 def timeline(revisions: DataFrame) -> DataFrame:
     """Every revision of every chunk with its place in the chunk's history."""
-    rows = current(revisions, "stage", "book_id", "chunk_id", "created_at").filter("chunk_id is not null")
-    history = rows.groupBy("book_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "seq", "stage"))).alias("h"))
+    held = rows(revisions, "stage", "book_id", "chunk_id", "created_at").filter("chunk_id is not null")
+    history = held.groupBy("book_id", "chunk_id").agg(F.array_sort(F.collect_set(F.struct("created_at", "seq", "stage"))).alias("h"))
     return history.select("book_id", "chunk_id", F.posexplode("h").alias("place", "x")).select("book_id", "chunk_id", "place", "x.seq", "x.stage")
 
 
+def cleared_stages(stage: str) -> tuple[list[str], list[str]]:
+    """What clearing from ``stage`` on removes: the text stages, and the side stages whose parent goes."""
+    gone = WATERFALL[WATERFALL.index(stage) :]
+    return gone, [s for s, parent in PARENT.items() if parent in gone]
+
+
 def to_clear(revisions: DataFrame, stage: str) -> DataFrame:
     """The rows that clearing from ``stage`` on removes: it and all later stages, verdicts on them, side
     rows of their parents; never the glossary."""
-    gone = WATERFALL[WATERFALL.index(stage) :]
-    rows = current(revisions, "stage", "book_id", "chunk_id", "cost_usd", "meta")
+    gone, side = cleared_stages(stage)
+    held = rows(revisions, "stage", "book_id", "chunk_id", "cost_usd", "meta", stages=[*gone, *side, "judge"])
     judged = F.coalesce(meta_field(F.col("meta"), "$.judged_stage"), F.lit("translate"))
-    side = [s for s, parent in PARENT.items() if parent in gone]
-    return rows.filter(F.col("stage").isin(gone + side) | ((F.col("stage") == "judge") & judged.isin(gone)))
+    return held.filter((F.col("stage") != "judge") | judged.isin(gone)).drop("meta").distinct()
 
 
 def clear(revisions: DataFrame, stage: str) -> DataFrame:
@@ -86,6 +98,11 @@ def clear(revisions: DataFrame, stage: str) -> DataFrame:
     return revisions.join(to_clear(revisions, stage).select("seq"), "seq", "left_anti")
 
 
+def preferences_left(preferences: DataFrame, stage: str) -> DataFrame:
+    """The preferences that clearing from ``stage`` on leaves: those for a cleared stage go with it."""
+    return preferences.filter(~F.col("preferred_stage").isin(cleared_stages(stage)[0]))
+
+
 def cache_hits(requests: DataFrame, revisions: DataFrame, key: str = "key") -> DataFrame:
     """Requests with ``hit``: whether the key has been answered. Null keys never are."""
     known = revisions.select(F.col("key").alias("_k")).filter("_k is not null").distinct()

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from palimp.operators import revisions as R
 from palimp.operators import verdicts as V
 from palimp.operators import waterfall as W
-from palimp.plans.durable import durable
 from palimp.sources.tables import table
 
 REV = """rev AS (
@@ -75,11 +74,24 @@ orig AS (
   FROM (SELECT DISTINCT book_id, chunk_id, pos, text FROM placed JOIN paragraphs USING (book_id, chapter_idx, para_idx) WHERE text IS NOT NULL)
   GROUP BY book_id, chunk_id)"""
 EXPECTED = "cnt AS (SELECT book_id, chunk_id, max(len(para_idx)) AS n_expected FROM chunks WHERE chunk_id IS NOT NULL GROUP BY ALL)"
+#: SQL for "a fragment parses": its elements are ``p``, the only ones in these tables, and closed; no control characters.
+PARSES = r"""NOT regexp_matches(regexp_replace({x}, '<p(?:\s[^<>]*)?>[^<>]*</p>', '', 'g'), '<') AND NOT regexp_matches({x}, '[\x00-\x08\x0b\x0c\x0e-\x1f]')"""
 VALID = r"""val AS (
   SELECT stg.*, n_expected,
     regexp_split_to_array(regexp_replace(regexp_replace(trim(content, ' ' || chr(10)), '^```[^\n]*\n', ''), '\n```[^\n]*$', ''), '(?m)^===PARAGRAPH\s+\d+===\s*$') AS parts
   FROM stg JOIN cnt USING (book_id, chunk_id)),
-fine AS (SELECT * FROM val WHERE len(parts) - 1 = n_expected OR (len(parts) = 1 AND n_expected = 1 AND trim(content, ' ' || chr(10) || chr(9)) <> ''))"""
+fine AS (SELECT * FROM val WHERE (len(parts) - 1 = n_expected OR (len(parts) = 1 AND n_expected = 1 AND trim(content, ' ' || chr(10) || chr(9)) <> ''))
+  AND len(list_filter(CASE WHEN len(parts) = 1 THEN [content] ELSE parts[2:] END, lambda x: NOT (""" + PARSES.format(x="x") + """))) = 0)"""
+OWN = "own AS (SELECT DISTINCT book_id, chunk_id, chapter_idx, para_idx AS l FROM chunks WHERE chunk_id IS NOT NULL)"
+TOP = "top AS (SELECT book_id, chunk_id, max(rank) AS top FROM stg GROUP BY ALL)"
+
+
+def replies_as_runs(spark, root):
+    """The tables hold no measurement run: the judge replies of each provider are read as one."""
+    held = table(spark, root, "completions", "completion_id", "book_id", "chunk_id", "stage", "provider", "created_at", "text").filter("stage = 'judge' and chunk_id is not null and provider is not null")
+    score = F.coalesce(V.raw_score(F.col("text")), F.lit(0))
+    order = F.struct(F.coalesce("created_at", F.lit("0001-01-01").cast("timestamp_ntz")), "completion_id")
+    return held.select("book_id", "chunk_id", F.col("provider").alias("run"), order.alias("_o"), score.alias("score")).groupBy("book_id", "chunk_id", "run").agg(F.max_by("score", "_o").alias("score"))
 
 
 def w(cte: str, query: str) -> str:
@@ -96,11 +108,11 @@ QUERIES = {
 FROM rev GROUP BY stage"""),
     ),
     "distinct_chunks": (
-        lambda s, r: R.current(rev(s, r), "stage", "book_id", "chunk_id").filter("chunk_id is not null").groupBy("stage").agg(F.count_distinct("book_id", "chunk_id").alias("n")),
+        lambda s, r: R.rows(rev(s, r), "stage", "book_id", "chunk_id").filter("chunk_id is not null").groupBy("stage").agg(F.count_distinct("book_id", "chunk_id").alias("n")),
         w(REV, "SELECT stage, count(DISTINCT (book_id, chunk_id)) AS n FROM rev WHERE chunk_id IS NOT NULL GROUP BY stage"),
     ),
     "legacy_rows": (
-        lambda s, r: rev(s, r).dropDuplicates(["seq"]).groupBy("stage").agg(F.count_if(F.col("chunk_id").isNull()).alias("n")),
+        lambda s, r: rev(s, r).filter("seq is not null").select("seq", "stage", "chunk_id").distinct().groupBy("stage").agg(F.count_if(F.col("chunk_id").isNull()).alias("n")),
         w(REV, "SELECT stage, count(*) FILTER (raw_chunk_id IS NULL) AS n FROM rev GROUP BY stage"),
     ),
     "stage_ids": (lambda s, r: R.chunk_ids_of(rev(s, r), "reflect"), w(REV, "SELECT DISTINCT book_id, chunk_id FROM rev WHERE stage = 'reflect' AND chunk_id IS NOT NULL")),
@@ -127,7 +139,7 @@ WHERE stage IN ('proofread','style','verify','repair','repair_verdicts') OR (sta
 GROUP BY stage"""),
     ),
     "clear_cascade": (
-        lambda s, r: R.clear(R.current(rev(s, r), "stage", "book_id", "chunk_id", "cost_usd", "meta"), "reflect").groupBy("stage").agg(F.count(F.lit(1)).alias("n")),
+        lambda s, r: R.clear(rev(s, r), "reflect").select("seq", "stage").distinct().groupBy("stage").agg(F.count(F.lit(1)).alias("n")),
         w(REV, """SELECT stage, count(*) AS n FROM rev
 WHERE NOT (stage IN ('reflect','proofread','style','verify','repair','reflect_notes','repair_verdicts') OR (stage = 'judge' AND coalesce(json_extract_string(meta, '$.judged_stage'), 'translate') IN ('reflect','proofread','style','verify','repair')))
 GROUP BY stage"""),
@@ -159,8 +171,8 @@ QUALIFY row_number() OVER (PARTITION BY book_id, chunk_id ORDER BY coalesce(stag
         w(f"{REV}, {NEWEST}, {EXPECTED}, {VALID}", "SELECT book_id, chunk_id, stage, seq, CAST(n_expected AS INT) AS n FROM fine WHERE rank < 5 QUALIFY row_number() OVER (PARTITION BY book_id, chunk_id ORDER BY rank DESC) = 1"),
     ),
     "assembly_map": (
-        lambda s, r: W.resolve(rev(s, r), preferences(s, r)).groupBy("stage").agg(F.count(F.lit(1)).alias("n")),
-        w(f"{REV}, {NEWEST}, {PREF}, res AS (SELECT book_id, chunk_id, stage FROM stg LEFT JOIN pref USING (book_id, chunk_id) QUALIFY row_number() OVER (PARTITION BY book_id, chunk_id ORDER BY coalesce(stage = wanted, false) DESC, rank DESC) = 1)", "SELECT stage, count(*) AS n FROM res GROUP BY stage"),
+        lambda s, r: W.assembly_map(rev(s, r), preferences(s, r)),
+        w(f"{REV}, {NEWEST}, {PREF}, res AS (SELECT book_id, chunk_id, stage FROM stg LEFT JOIN pref USING (book_id, chunk_id) QUALIFY row_number() OVER (PARTITION BY book_id, chunk_id ORDER BY coalesce(stage = wanted, false) DESC, rank DESC) = 1)", "SELECT stage, CAST(sum(n) AS BIGINT) AS n FROM (SELECT stage, count(*) AS n FROM res GROUP BY stage UNION ALL SELECT stage, count(*) FROM rev WHERE stage = 'translate' AND chunk_id IS NULL GROUP BY stage) GROUP BY stage"),
     ),
     "assembly_reason": (
         lambda s, r: W.resolve(rev(s, r), preferences(s, r)),
@@ -170,15 +182,41 @@ QUALIFY row_number() OVER (PARTITION BY book_id, chunk_id ORDER BY coalesce(stag
     ),
     "assembled_paragraphs": (
         lambda s, r: W.assemble(table(s, r, "chunks"), rev(s, r)).select("book_id", "chapter_idx", "para_idx", "stage", F.md5("text").alias("digest")),
-        w(f"{REV}, {NEWEST}, {EXPECTED}, {VALID}, top AS (SELECT book_id, chunk_id, max(rank) AS top FROM stg GROUP BY ALL), own AS (SELECT DISTINCT book_id, chunk_id, chapter_idx, para_idx AS l FROM chunks WHERE chunk_id IS NOT NULL), best AS (SELECT fine.*, chapter_idx, l FROM fine JOIN own USING (book_id, chunk_id) QUALIFY row_number() OVER (PARTITION BY book_id, chunk_id ORDER BY rank DESC) = 1)",
-          """SELECT book_id, chapter_idx, unnest(l) AS para_idx, stage, md5(trim(unnest(CASE WHEN len(parts) = 1 THEN [content] ELSE parts[2:] END), ' ' || chr(10) || chr(9) || chr(13))) AS digest FROM best""")),
-    "unassembled": (lambda s, r: W.unassembled(table(s, r, "chunks"), durable(R.current(rev(s, r), "stage", "book_id", "chunk_id", "created_at", "content", "meta"))), None),
+        w(f"{REV}, {NEWEST}, {EXPECTED}, {VALID}, {OWN}, best AS (SELECT fine.*, chapter_idx, l FROM fine JOIN own USING (book_id, chunk_id) WHERE len(parts) > 1 QUALIFY row_number() OVER (PARTITION BY book_id, chunk_id ORDER BY rank DESC) = 1)",
+          """SELECT book_id, chapter_idx, unnest(l) AS para_idx, stage, md5(trim(unnest(parts[2:]), ' ' || chr(10) || chr(9) || chr(13))) AS digest FROM best"""),
+    ),
+    "assembled_forced": (
+        lambda s, r: W.assemble(table(s, r, "chunks"), rev(s, r), forced="verify").select("book_id", "chapter_idx", "para_idx", "stage", F.md5("text").alias("digest")),
+        w(f"{REV}, {NEWEST}, {EXPECTED}, {VALID}, {OWN}, best AS (SELECT fine.*, chapter_idx, l FROM fine JOIN own USING (book_id, chunk_id) WHERE len(parts) > 1 AND stage = 'verify')",
+          """SELECT book_id, chapter_idx, unnest(l) AS para_idx, stage, md5(trim(unnest(parts[2:]), ' ' || chr(10) || chr(9) || chr(13))) AS digest FROM best"""),
+    ),
+    "unassembled": (
+        lambda s, r: W.unassembled(table(s, r, "chunks"), rev(s, r)),
+        w(f"{REV}, {NEWEST}, {EXPECTED}, {VALID}, {OWN}", """SELECT book_id, chunk_id, CASE WHEN (book_id, chunk_id) IN (SELECT (book_id, chunk_id) FROM stg) THEN 'broken' ELSE 'missing' END AS why
+FROM own WHERE (book_id, chunk_id) NOT IN (SELECT (book_id, chunk_id) FROM fine WHERE len(parts) > 1)"""),
+    ),
+    "unassembled_forced": (
+        lambda s, r: W.unassembled(table(s, r, "chunks"), rev(s, r), forced="style"),
+        w(f"{REV}, {NEWEST}, {EXPECTED}, {VALID}, {OWN}", """SELECT book_id, chunk_id, CASE WHEN (book_id, chunk_id) IN (SELECT (book_id, chunk_id) FROM stg WHERE stage = 'style') THEN 'broken' ELSE 'missing' END AS why
+FROM own WHERE (book_id, chunk_id) NOT IN (SELECT (book_id, chunk_id) FROM fine WHERE stage = 'style' AND len(parts) > 1)"""),
+    ),
+    "rehydrated_later": (
+        lambda s, r: W.rehydrated(table(s, r, "chunks"), rev(s, r), preferences(s, r), every=False),
+        w(f"{REV}, {NEWEST}, {PREF}, {EXPECTED}, {VALID}, {OWN}, res AS (SELECT book_id, chunk_id, stage, rank FROM stg JOIN own USING (book_id, chunk_id) LEFT JOIN pref USING (book_id, chunk_id) QUALIFY row_number() OVER (PARTITION BY book_id, chunk_id ORDER BY coalesce(stage = wanted, false) DESC, rank DESC) = 1), lat AS (SELECT * FROM res WHERE stage <> 'translate')",
+          """SELECT book_id, count(*) FILTER (ok) AS n_rehydrated, count(*) FILTER (NOT ok) AS n_failed
+FROM (SELECT book_id, EXISTS (SELECT 1 FROM fine f WHERE f.book_id = lat.book_id AND f.chunk_id = lat.chunk_id AND f.rank BETWEEN 2 AND lat.rank AND len(parts) > 1) AS ok FROM lat) GROUP BY book_id"""),
+    ),
+    "translated_chunks": (
+        lambda s, r: W.translated_of(table(s, r, "chunks"), rev(s, r)).select("book_id", "chunk_id"),
+        w(REV, "SELECT DISTINCT book_id, chunk_id FROM chunks WHERE chunk_id IS NOT NULL AND (book_id, chunk_id) IN (SELECT (book_id, chunk_id) FROM rev WHERE stage = 'translate' AND chunk_id IS NOT NULL)"),
+    ),
     "grid_changed": (lambda s, r: W.grid(rev(s, r)), w(f"{REV}, {NEWEST}, {GRID}", "SELECT book_id, chunk_id, stage, changed FROM grid")),
     "grid_wide": (
-        lambda s, r: W.grid_wide(rev(s, r)),
-        w(f"{REV}, {NEWEST}, {GRID}", """SELECT book_id, chunk_id, max(c) FILTER (stage = 'translate') AS translate, max(c) FILTER (stage = 'reflect') AS reflect,
+        lambda s, r: W.grid_wide(rev(s, r), V.latest_verdicts(rev(s, r), None)),
+        w(f"{REV}, {NEWEST}, {GRID}, {JUDGE}, late AS (SELECT book_id, chunk_id, score FROM plain WHERE chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY book_id, chunk_id ORDER BY created_at DESC, seq DESC) = 1)",
+          """SELECT g.*, score AS judge_score FROM (SELECT book_id, chunk_id, max(c) FILTER (stage = 'translate') AS translate, max(c) FILTER (stage = 'reflect') AS reflect,
   max(c) FILTER (stage = 'proofread') AS proofread, max(c) FILTER (stage = 'style') AS style, max(c) FILTER (stage = 'verify') AS verify
-FROM (SELECT *, coalesce(CAST(changed AS VARCHAR), 'base') AS c FROM grid) GROUP BY book_id, chunk_id"""),
+FROM (SELECT *, coalesce(CAST(changed AS VARCHAR), 'base') AS c FROM grid) GROUP BY book_id, chunk_id) g LEFT JOIN late USING (book_id, chunk_id)"""),
     ),
     "grid_totals": (
         lambda s, r: W.grid_totals(rev(s, r)),
@@ -221,8 +259,17 @@ FROM rev WHERE chunk_id IS NOT NULL AND stage <> 'judge' WINDOW o AS (PARTITION
         w(f"{REV}, {JUDGE}, now AS (SELECT * FROM plain WHERE judged_stage = 'translate' AND chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY book_id, chunk_id ORDER BY created_at DESC, seq DESC) = 1)", "SELECT book_id, chunk_id, score FROM now WHERE score <= 2"),
     ),
     "judge_consistency": (
-        lambda s, r: V.agreement(rev(s, r)),
-        w(f"{REV}, {JUDGE}, base AS (SELECT book_id, chunk_id, judged_stage, max(score) AS base FROM plain WHERE chunk_id IS NOT NULL GROUP BY ALL)", "SELECT run, count(*) AS n, count(*) FILTER (score = base) AS n_equal, CAST(sum(abs(score - base)) AS BIGINT) AS shift FROM ver JOIN base USING (book_id, chunk_id, judged_stage) WHERE run IS NOT NULL GROUP BY run"),
+        lambda s, r: V.agreement(V.latest_verdicts(rev(s, r)), V.measurement_runs(rev(s, r)).unionByName(replies_as_runs(s, r))),
+        w(f"""{REV}, {JUDGE}, now AS (SELECT * FROM plain WHERE judged_stage = 'translate' AND chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY book_id, chunk_id ORDER BY created_at DESC, seq DESC) = 1),
+rep AS (SELECT DISTINCT completion_id, book_id, chunk_id, provider, created_at, text, regexp_replace(regexp_replace(trim(text), '^```[^\\n]*\\n', ''), '\\n```[^\\n]*$', '') AS body FROM completions WHERE stage = 'judge' AND chunk_id IS NOT NULL AND provider IS NOT NULL),
+got AS (SELECT *, CASE WHEN NOT coalesce(json_valid(body), false) THEN 0 WHEN json_type(body, '$.score') = 'VARCHAR' THEN coalesce(try_cast(json_extract_string(body, '$.score') AS INT), 0)
+  ELSE coalesce(CAST(trunc(try_cast(json_extract_string(body, '$.score') AS DOUBLE)) AS INT), 0) END AS score FROM rep),
+runs AS (SELECT book_id, chunk_id, provider AS run, score FROM got QUALIFY row_number() OVER (PARTITION BY book_id, chunk_id, provider ORDER BY created_at DESC NULLS LAST, completion_id DESC) = 1
+  UNION ALL SELECT book_id, chunk_id, run, score FROM ver WHERE run IS NOT NULL AND chunk_id IS NOT NULL AND judged_stage = 'translate' QUALIFY row_number() OVER (PARTITION BY book_id, chunk_id, run ORDER BY created_at DESC, seq DESC) = 1)""",
+          """SELECT runs.run, count(*) AS n, count(*) FILTER (runs.score = now.score) AS n_equal, CAST(sum(abs(runs.score - now.score)) AS BIGINT) AS shift,
+  count(*) FILTER (runs.score <= 2 AND now.score <= 2) AS n_both, count(*) FILTER (runs.score <= 2 OR now.score <= 2) AS n_either,
+  round(count(*) FILTER (runs.score <= 2 AND now.score <= 2) / nullif(count(*) FILTER (runs.score <= 2 OR now.score <= 2), 0), 6) AS jaccard
+FROM runs JOIN now USING (book_id, chunk_id) GROUP BY runs.run"""),
     ),
     "chunk_originals": (
         lambda s, r: originals(s, r).select("book_id", "chunk_id", F.md5("original").alias("digest")),
