@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from palimp.functions.declension import probe
+from palimp.functions.declension import find, probe
 from palimp.operators import chunking, glossary, notes, patches, repair, snapshots
 from palimp.operators import revisions as R
 from palimp.operators import verdicts as V
@@ -61,6 +61,28 @@ def test_assembly_and_grid(spark, history):
     assert as_set(W.missing_in(history, "verify"), "chunk_id") == {("c2",), ("c3",)}
 
 
+def test_a_malformed_text_gives_way_to_an_earlier_one(spark):
+    page = "===PARAGRAPH 1===\n<p>{}</p>\n===PARAGRAPH 2===\nx & y"
+    history = revisions(spark, [(1, "c1", "translate", 1, page.format("a"), None), (2, "c1", "style", 2, page.format("<i>b"), None), (3, "c2", "translate", 1, page.format("<b"), None), (4, "c3", "style", 1, page.format("s"), None), (5, "c3", "verify", 2, page.format("v"), None)])
+    chunks = spark.createDataFrame([(1, f"c{i}", i, [0, 1]) for i in (1, 2, 3)], "book_id bigint, chunk_id string, chapter_idx int, para_idx array<int>")
+    counts = chunks.select("book_id", "chunk_id", F.size("para_idx").alias("n_expected"))
+    assert as_set(W.valid_before(history, counts), "chunk_id", "stage") == {("c1", "translate"), ("c3", "verify")}
+    assert as_set(W.assemble(chunks, history).filter("para_idx = 0"), "chapter_idx", "stage", "text") == {(1, "translate", "<p>a</p>"), (3, "verify", "<p>v</p>")}
+    assert as_set(W.unassembled(chunks, history), "chunk_id", "why") == {("c2", "broken")}
+    assert as_set(W.assemble(chunks, history, forced="style").filter("para_idx = 0"), "chapter_idx", "text") == {(3, "<p>s</p>")}
+    assert as_set(W.unassembled(chunks, history, forced="style"), "chunk_id", "why") == {("c1", "broken"), ("c2", "missing")}
+    assert W.rehydrated(chunks, history).first()[1:] == (2, 1) and W.rehydrated(chunks, history, every=False).first()[1:] == (1, 1)
+    wanted = spark.createDataFrame([(1, "c3", "style")], "book_id bigint, chunk_id string, preferred_stage string")
+    assert as_set(W.assemble(chunks, history, wanted).filter("chapter_idx = 3 and para_idx = 0"), "stage") == {("style",)}
+
+
+def test_agreement(spark):
+    base = spark.createDataFrame([(1, c, s) for c, s in (("a", 1), ("b", 4), ("c", 2), ("d", 5))], "book_id bigint, chunk_id string, score int")
+    runs = spark.createDataFrame([(1, c, "r", s) for c, s in (("a", 2), ("b", 4), ("c", 5), ("e", 1))], "book_id bigint, chunk_id string, run string, score int")
+    assert V.agreement(base, runs).first()[:] == ("r", 3, 1, 4, 1, 2, 0.5)
+    assert V.agreement(base, runs.limit(0)).count() == 0
+
+
 def test_verdicts(history):
     got = {r["seq"]: (r["score"], r["issues"], r["judged_stage"]) for r in V.verdicts(history).collect()}
     assert got[8] == (2, ["bad"], "translate") and got[9] == (3, ["a", "b"], "translate") and got[10] == (0, ["parse error"], "translate") and 11 not in got
@@ -73,6 +95,8 @@ def test_clear_and_upsert(spark, history):
     rows = revisions(spark, [(1, "c", "translate", 1, "", None), (2, "c", "verify", 1, "", None), (3, "c", "judge", 1, "", '{"judged_stage": "verify"}'), (4, "c", "judge", 1, "", None), (5, "c", "repair_verdicts", 1, "", None), (6, "c", "glossary", 1, "", None), (7, "c", "judge", 1, "", "{bad")])
     assert as_set(R.to_clear(rows, "verify"), "seq") == {(2,), (3,), (5,)}
     assert as_set(R.clear(rows, "translate"), "seq") == {(6,)}
+    wanted = spark.createDataFrame([(1, "c", "verify"), (1, "d", "reflect")], "book_id bigint, chunk_id string, preferred_stage string")
+    assert as_set(R.preferences_left(wanted, "style"), "chunk_id") == {("d",)}
     twice = rows.withColumn("key", F.lit("k"))
     assert as_set(R.upsert(twice), "seq") == {(7,)}
 
@@ -114,6 +138,8 @@ def test_patches(spark):
     assert as_set(read, "id", "outcome") == {(1, "patches"), (2, "patches"), (3, "patches"), (4, "patches"), (5, "no_changes"), (6, "rejected"), (7, "rejected"), (8, "no_changes")}
     got = as_set(patches.apply_patches(read, paragraphs, "id"), "id", "at", "verdict")
     assert got == {(1, 0, "overridden"), (1, 1, "applied"), (2, 0, "dash"), (2, 1, "malformed"), (3, 0, "out_of_range"), (3, 1, "out_of_range"), (4, 0, "borrowed")}
+    texts = {r["id"]: (r["outcome"], r["changed"], r["paragraphs"]) for r in patches.patched(read, paragraphs, "id").collect()}
+    assert texts[1] == ("patches", True, ["— Ну.", f"Own text. {long}", "Third."]) and texts[2][:2] == ("patches", False) and texts[3] == ("out_of_range", None, None) and texts[5][:2] == ("no_changes", False) and texts[6] == ("rejected", None, None)
     assert patches.apply_patches(patches.read_replies(replies.limit(0), "id", "reply"), paragraphs, "id").count() == 0
 
 
@@ -125,10 +151,18 @@ def test_repair(spark):
     skips = [r["skip"] for r in got.orderBy("n").collect()]
     assert skips == [None, None, "out_of_scope", "no_category", "no_paragraph", "bad_paragraph", "no_pair", "no_op", "quote_absent", "quote_absent", None]
     assert as_set(got.filter("deferred"), "n") == {(5,), (6,), (7,)}
-    accepted = spark.createDataFrame([(1, "c", 1, True), (1, "c", 2, True), (1, "c", 11, True)], "book_id bigint, chunk_id string, n int, accepted boolean")
-    done = repair.apply(repair.vet(got, accepted)).first()
+    accepted = spark.createDataFrame([(1, "c", 1, True), (1, "c", 2, True), (1, "c", 3, True)], "book_id bigint, chunk_id string, place int, accepted boolean")
+    done = repair.apply(repair.vet(got, accepted), texts).first()
     # the second substitution makes «yy» occur twice, so the third no longer applies
     assert done["paragraphs"] == ["cc dd", "yy yy"] and done["n_applied"] == 2
+    replies = spark.createDataFrame([(1, "c", '[{"n": 1, "verdict": "accept"}, {"n": "2", "verdict": "no"}]'), (1, "other", "[]")], "book_id bigint, chunk_id string, reply string")
+    assert as_set(repair.stage_rows(got, replies, texts), "chunk_id", "stage", "accepted", "content") == {("c", "repair_verdicts", 1, replies.first()["reply"]), ("c", "repair", 1, "===PARAGRAPH 1===\ncc dd\n===PARAGRAPH 2===\nxx yy")}
+    refused = replies.withColumn("reply", F.lit('{"n": 1, "verdict": "reject"}'))
+    assert as_set(repair.stage_rows(got, refused, texts), "chunk_id", "stage") == {("c", "repair_verdicts")}
+    assert repair.stage_rows(got, replies.withColumn("reply", F.lit("fine by me")), texts).count() == 0 and repair.stage_rows(got, replies.withColumn("reply", F.lit(None).cast("string")), texts).count() == 0
+    counts = spark.createDataFrame([(1, "c", 2), (1, "d", 1), (1, "e", 1)], "book_id bigint, chunk_id string, n_expected int")
+    old = spark.createDataFrame([(1, "c", "===PARAGRAPH 1===\na\n===PARAGRAPH 2===\nb", '{"accepted": 2}'), (1, "d", "text", None), (1, "e", "===PARAGRAPH 1===\na", '{"verdicts": true}')], "book_id bigint, chunk_id string, content string, meta string")
+    assert as_set(repair.legacy(old, got, counts), "chunk_id", "outcome", "accepted", "rejected") == {("c", "used", 2, 1), ("d", "broken", None, None)}
 
 
 def test_glossary(spark):
@@ -138,7 +172,25 @@ def test_glossary(spark):
     entries = spark.createDataFrame([(1, 1, "A", "а", "person", "f", "n " * 80), (2, 1, "B", "б", "place", "f", None)], "cand_id bigint, book_id bigint, original string, translation string, type string, gender string, notes string")
     lines = glossary.render(entries, ["book_id"]).first()["block"].split("\n")
     assert lines[0].startswith("A | а | person, f | n n") and lines[0].endswith("...") and lines[1] == "B | б | place"
-    assert as_set(glossary.summary(entries), "type", "n") == {("person", 1), ("place", 1), ("total", 2)}
+    assert as_set(glossary.summary(entries), "type", "n", "place") == {("person", 1, 0), ("place", 1, 1), ("total", 2, 100)}
+    every = spark.createDataFrame([(1,), (2,)], "book_id bigint")
+    assert as_set(glossary.render(entries, ["book_id"], every).filter("book_id = 2"), "block") == {(glossary.NO_TERMS,)}
+    typed = series.withColumn("type", F.lit("place"))
+    assert as_set(glossary.merged(book.withColumn("type", F.lit("person")), typed, F.col("approved")), "original", "translation", "type", "place") == {("B", "г", "person", 0), ("A", "а", "place", 1)}
+
+
+def test_glossary_replies(spark):
+    one, bad = '{"original": "A", "translation": "а", "type": "person", "override": true, "notes": "n"}', '{"original": "A", "type": "person"}'
+    full = f'```json\n{{"bookstart": " s ", "entries": [{one}, {bad}], "bookend": "e"}}\n```'
+    texts = [full, full.replace(" s ", "x"), full.replace('"e"', "null"), f"[{one}]", f"[{bad}]", "", None, "prose", "[]", '{"entries": 3}']
+    replies = spark.createDataFrame([(i, t, "s", "e") for i, t in enumerate(texts)], "id int, reply string, bookstart string, bookend string")
+    got = {r["id"]: (r["outcome"], r["n_invalid"], r["entries"]) for r in glossary.read_replies(replies, "id", "reply").collect()}
+    assert [got[i][0] for i in range(10)] == ["read", "cut_start", "cut_end", "cut_start", "unreadable", "empty", "empty", "unreadable", "cut_start", "unreadable"]
+    assert got[0][1] == 1 and got[0][2][0]["notes"] == "[override] n" and got[1][2] is None
+    free = {r["id"]: r["outcome"] for r in glossary.read_replies(replies, "id", "reply", marks=False).collect()}
+    assert free[3] == "read" and free[8] == "read"
+    stored = spark.createDataFrame([(1, '{"bookstart": "a", "bookend": "b"}'), (2, '{"bookstart": "a"}'), (3, None)], "id int, meta string")
+    assert as_set(glossary.guarded(stored), "id") == {(1,)}
 
 
 def test_notes(spark):
@@ -151,6 +203,17 @@ def test_notes(spark):
     assert notes.placements(chosen, texts, "first-in-chapter").count() == 5
 
 
+def test_occurrences_are_those_of_brute_force(spark):
+    rng = random.Random(7)
+    held = ["Облако", "скрип", "Старый мост", "Келор-20", "орёл", "тень", "река", "«Дом»", "C++", "земля", "Армия", "здание", "Я", ""]
+    terms = [(i, 1 + i % 2, t, g, i) for i, (t, g) in enumerate((t, g) for t in held for g in (None, "f"))]
+    bits = ["в Облаках", "скрипы", "поскрипывал.", "под старым мостом", "Старый  мост", "старый мостам", "Келор-20", "Келором", "Орла", "орёл", "тенью", "реки", "«Дом»", "c++", "земли", "Армией", "в здании", "И я.", "— Облако"]
+    texts = [(1 + i % 2, i % 3, i, " ".join(rng.choices(bits, k=rng.randint(0, 6)))) for i in range(80)] + [(1, 0, 99, None)]
+    got = notes.occurrences(spark.createDataFrame(terms, "cand_id bigint, book_id bigint, translation string, gender string, place int"), spark.createDataFrame(texts, "book_id bigint, chapter_idx int, para_idx int, text string"))
+    want = {(i, c, p, at) for i, b, t, g, _ in terms for o, c, p, x in texts if b == o and x and (at := find(t, g, x)) >= 0}
+    assert as_set(got, "cand_id", "chapter_idx", "para_idx", "at") == want and got.count() == len(want) > 100
+
+
 def test_probe_containment_is_that_of_brute_force(spark):
     rng = random.Random(5)
     held = ["Облако", "скрип", "я", "Да", "Старый мост", "Тихая\u00a0гавань", "Орёл", "река", "C++", "🙂ок", " "]

@@ -32,7 +32,26 @@ def test_stage(spark):
     assert {(r["chunk_id"], r["outcome"]) for r in third.collect()} == {("c1", "new"), ("c2", "failed"), ("c3", "new")}
 
 
+def test_broken_replies(spark):
+    empty = spark.createDataFrame([], "key string")
+    prompt = ("translate", "m", "v1", "sys", "Translate: {{ source }}")
+    run = P.run_checked(inputs(spark), empty, P.callable_source(ask), *prompt)
+    rejects = {r["chunk_id"]: (r["error"], r["reply"], r["retry_reply"]) for r in run.rejects.collect()}
+    assert rejects == {"c2": ("no paragraph markers", "no marker", "no marker")}
+    assert {(r["outcome"], r["n"]) for r in P.run_stats(run.outcomes).collect()} == {("new", 1), ("retried", 1), ("failed", 1)}
+    broken = run.made.withColumn("content", F.lit("===PARAGRAPH 1===\n<p>open"))
+    second = P.run_checked(inputs(spark), broken, P.callable_source(ask), *prompt)
+    assert {(r["chunk_id"], r["outcome"]) for r in second.outcomes.collect()} == {("c1", "cached_broken"), ("c2", "failed"), ("c3", "cached_broken")}
+    many = spark.createDataFrame([(1, f"c{i}", 1, f"t{i}") for i in range(50)], "book_id bigint, chunk_id string, n_expected int, source string")
+    mended = P.run_checked(many, empty, P.callable_source(lambda s, u: "===PARAGRAPH 1===\nt" if "not usable: no paragraph markers" in u else "bad"), *prompt)
+    assert {(r["outcome"], r["n"]) for r in P.run_stats(mended.outcomes).collect()} == {("retried", 5), ("failed", 45)} and mended.rejects.filter("retry_reply is null").count() == 45
+    judged = P.run_judge(inputs(spark), empty, P.callable_source(lambda s, u: '{"score": 4, "issues": []}' if "valid JSON only" in u or "one" in u else '{"score": 9}'), "m", "v1", "sys", "Judge: {{ source }}")
+    assert {(r["chunk_id"], r["outcome"]) for r in judged.outcomes.collect()} == {("c1", "new"), ("c2", "retried"), ("c3", "retried")}
+
+
 def test_prompts(spark):
+    held = P.load_prompt("---\nversion: '2'\ntemperature: 0.3\nmax_tokens: 900\nother: x\n---\n# User\nDo.")
+    assert held == P.Prompt("", "Do.", "2", 0.3, 900, None)
     assert P.sections("---\nversion: 1\n---\n# System\nBe good.\n# User\nDo {{ x }}.") == ("Be good.", "Do {{ x }}.") and P.sections("plain") == ("", "plain")
     with pytest.raises(KeyError):
         P.render("{{ missing }}", inputs(spark), "p")

@@ -49,7 +49,7 @@ def test_key(spark):
 
 
 def test_names_paths_images(spark):
-    assert values(spark, X.language_name, ["ru", "pt-BR", "EN_us", "xx", None]) == ["Russian", "Portuguese", "English", "xx", None]
+    assert values(spark, X.language_name, ["ru", "pt-BR", "DA_dk", "en", "xx", None]) == ["Russian", "Portuguese", "Danish", None, None, None]
     assert values(spark, X.normalize_path, ["a/./b/../c.x#f", "../a?q", "/a//b", ""]) == ["a/c.x", "a", "a/b", ""]
     images = [b"\xff\xd8\xff\xe0abc", b"\x89PNG\r\n\x1a\nxx", b"RIFF1234WEBPVP8 ", b"GIF89a..", b"BM1234", b"II*\0", b"text", b""]
     assert values(spark, X.image_type, [bytearray(i) for i in images], "binary") == ["image/jpeg", "image/png", "image/webp", "image/gif", "image/bmp", "image/tiff", None, None]
@@ -68,6 +68,19 @@ def test_json_repair(text, want):
     assert jsonfix.parse(text) == want
 
 
+def test_json_reading_knows_its_place():
+    assert jsonfix.parse('{"a": ["x "y"} z", "b"], "c": "d "e", f"}') == {"a": ['x "y"} z', "b"], "c": 'd "e", f'}
+    far = '{"a": "he said "no"' + " " * 2000 + 'and left", "b": 1}'
+    assert jsonfix.parse(far)["b"] == 1
+    long = '["' + 'a "b" ' * 20000 + '"]'
+    assert jsonfix.parse(long) == ["a \"b\" " * 20000]
+    cut = "[" + '{"p": 1, "text": "a"}, ' * 5000 + '{"p": 2, "te'
+    assert len(jsonfix.read_patches(cut)) == 5000
+    for bad in ('["a" "b"', '{"a" 1}', "[1,]", '{"a": "b",}', "[" * 100_000):
+        with pytest.raises(ValueError):
+            jsonfix.parse(bad)
+
+
 def test_json_failures():
     for bad in ("", "no json", '{"a": '):
         with pytest.raises(ValueError):
@@ -109,5 +122,12 @@ def test_declension(term, gender, text, at):
         assert declension.probe(term, gender) in text.lower()
 
 
+def test_forms_follow_the_declension():
+    assert set(declension.forms("книга")) == {"книга", "книги", "книге", "книгу", "книгой", "книгою", "книгам", "книгами", "книгах"}
+    assert set(declension.forms("король", "m")) == {"король", "короля", "королю", "королем", "короле", "короли", "королей", "королям", "королями", "королях"}
+    assert {"синий", "синего", "синяя", "синюю", "синими"} <= set(declension.forms("синий", "unknown")) and "земле" in declension.forms("земля")
+    assert declension.forms("здание")[0] == "зданиями" and "здании" in declension.forms("здание") and declension.forms("Большой кот") == ["большой кот"] and declension.forms(" ") == []
+
+
 def test_slugs():
     assert [slugify(t) for t in ("Élan Vital!", "Книга", None, "a--b")] == ["elan-vital", "book", "book", "a-b"]
