@@ -15,6 +15,8 @@ TURN, CIRCLE = 1_327_217_885, 1 << 31
 SLOTS, BLOCK_TOKENS = 1 << 16, 1 << 20
 #: A shuffled slice of a source holds about this many documents.
 SLICE_ROWS = 4096
+#: Slices are summed by runs of this many before the runs are ordered, a source in one task.
+SPAN = 1 << 12
 
 
 def _golden(slot: Column) -> Column:
@@ -83,11 +85,11 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total: int | None = No
     pick = F.lit(list(plan)[-1])
     for s, edge in reversed(list(zip(plan, edges))[:-1]):
         pick = F.when(point < edge, s).otherwise(pick)
-    schedule = running_total(spark.range(slots).select(F.col("id").alias("slot"), pick.alias("source"), F.lit(1).cast("bigint").alias("_one")), ["source"], F.expr(f"slot div {1 << 14}"), [F.col("slot")], F.col("_one"), "_rank").select("slot", "source", "_rank")
+    schedule = running_total(spark.range(slots).select(F.col("id").alias("slot"), pick.alias("source"), F.lit(1).cast("bigint").alias("_one")), ["source"], F.expr(f"slot div {1 << 14}"), [F.col("slot")], F.col("_one"), "_rank", SPAN).select("slot", "source", "_rank")
 
     key = F.xxhash64(F.col("doc_id"), F.lit(seed))
     docs = sized.join(F.broadcast(per), "source").withColumn("_key", key)
-    placed = running_total(docs, ["source"], F.pmod(F.col("_key"), F.col("_slices")), [F.col("_key"), F.col("doc_id"), F.col("n_tokens")], F.col("n_tokens"), "_at")
+    placed = running_total(docs, ["source"], F.pmod(F.col("_key"), F.col("_slices")), [F.col("_key"), F.col("doc_id"), F.col("n_tokens")], F.col("n_tokens"), "_at", SPAN)
     # the k-th use of a document lies k times the source's tokens further on; uses end within the goal
     placed = durable(placed)
     filled = placed.withColumn("_k", F.expr("least(max_repeats - 1, (_goal - _at - n_tokens) div _all)")).filter("_goal - _at - n_tokens >= 0")
@@ -123,4 +125,5 @@ def p7_mixture(spark, root: str) -> DataFrame:
 def p7_shares(spark, root: str) -> DataFrame:
     targets = spark.read.parquet(f"{root}/mix_targets.parquet")
     documents = spark.read.parquet(f"{root}/documents.parquet")
-    return mixture_shares(p7_mixture(spark, root), documents.select("source"), targets)
+    mixture = durable(p7_mixture(spark, root).select("source", "n_tokens", "repeat_no"))
+    return mixture_shares(mixture, documents.select("source"), targets)

@@ -34,12 +34,29 @@ def test_ranges_carry_over(monkeypatch):
     import pyarrow as pa
 
     monkeypatch.setattr(K, "RANGE", 3)
-    monkeypatch.setattr(K.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 2})())
-    rows = [("a", 1), ("b", 1), ("b", 2), ("c", 1), ("d", 1), ("d", 5), ("e", 1), ("f", 1), ("g", 1), ("g", 1)]
-    batches = [pa.RecordBatch.from_pydict({"term": [t for t, _ in part], "n_occurrences": [n for _, n in part], "n_records": [1] * len(part)}) for part in (rows[:2], rows[2:5], rows[5:])]
-    out = [tuple(r.values()) for b in K._sum_ranges(iter(batches)) for r in b.to_pylist()]
-    assert [(t, n) for _, t, n, _ in out] == [("a", 1), ("b", 3), ("c", 1), ("d", 6), ("e", 1), ("f", 1), ("g", 2)]
-    assert [i - (2 << 40) for i, *_ in out] == list(range(7))
+    r = random.Random(6)
+    want, packed = Counter(), []
+    for _ in range(4):  # blocks, each with sorted rows in batches of any size
+        rows = sorted((r.randrange(0, 20), r.randint(1, 9)) for _ in range(r.randint(1, 25)))
+        want.update({i: sum(n for j, n in rows if j == i) for i, _ in rows})
+        cuts = [0, *sorted(r.sample(range(len(rows) + 1), min(2, len(rows)))), len(rows)]
+        batches = [pa.RecordBatch.from_pydict({"term_id": [i for i, _ in rows[x:y]], "n_occurrences": [n for _, n in rows[x:y]], "n_records": [1] * (y - x)}) for x, y in zip(cuts, cuts[1:]) if x < y]
+        packed += [row for b in K._arrays(iter(batches)) for row in b.to_pylist()]
+    assert all(0 <= p < 3 for row in packed for p in row["at"])
+    packed.sort(key=lambda row: row["part"])
+    kinds = pa.schema([("part", pa.int64()), ("at", pa.list_(pa.int32())), ("n_occurrences", pa.list_(pa.int64())), ("n_records", pa.list_(pa.int64()))])
+    batches = [pa.RecordBatch.from_pylist(packed[x : x + 4], schema=kinds) for x in range(0, len(packed), 4)]
+    got = {row["term_id"]: row["n_occurrences"] for b in K._sum_ranges(iter(batches)) for row in b.to_pylist()}
+    assert got == dict(want)
+
+
+def test_identifiers_are_dense_and_in_order(spark):
+    df = spark.createDataFrame([(i, " ".join(f"w{'abcdefghij'[i % 10]}{'xyz'[j]}" for j in range(3))) for i in range(40)] + [(1, "b a"), (None, "zz"), (None, "zy")], "k int, text string").repartition(7)
+    rows = sorted(K.term_table(df, ["k"]).collect())
+    assert [r["term_id"] for r in rows] == list(range(len(rows))) and [r["term"] for r in rows] == sorted(r["term"] for r in rows)
+    held = {r["term"]: (r["n_occurrences"], r["n_records"]) for r in rows}
+    # key 1 has two texts and the null key too: the smaller counts
+    assert held["a"] == held["b"] == (1, 1) and held["zy"] == (1, 1) and "zz" not in held and held["wax"] == (4, 4) and held["wbx"] == (3, 3)
 
 
 @settings(max_examples=150, deadline=None)
