@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import lru_cache
 from math import inf, log
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -19,25 +19,19 @@ SINGLE_BYTE = [
     ("cp1251", "cp1252"), ("cp1251", "latin-1"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("koi8-r", "cp1252"), ("cp866", "cp1251"), ("cp866", "cp1252"),
     ("cp1251", "mac_roman"), ("cp1251", "cp866"), ("koi8-u", "cp1251"), ("cp1251", "koi8-u"), ("mac_cyrillic", "cp1251"), ("cp1251", "mac_cyrillic"),
     ("cp1252", "cp1251"), ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp1252", "cp437"), ("cp437", "cp1252"), ("cp1252", "cp1250"),
+    ("iso8859-5", "cp1251"), ("iso8859-5", "cp1252"), ("cp1251", "iso8859-5"), ("cp866", "latin-1"),
 ]
-#: The model of clean text is fitted on at most this many documents of at most this many characters.
-SAMPLE_DOCUMENTS, SAMPLE_CHARS = 4000, 20_000
 #: Log cost of entering a garbled span, by kind of pair; leaving is free.
-ENTER_MULTI, ENTER_SINGLE = 3.0, 14.0
+ENTER_MULTI, ENTER_SINGLE = 4.0, 14.0
 #: Further log cost of changing state inside a word, for single-byte pairs.
 INSIDE_WORD = 6.0
-#: Log gain of a whole multi-byte sequence: clean text rarely forms one by chance.
-SEQUENCE = 3.0
 #: Log gain, below 0, of a sequence that decodes to a character unknown to the model.
 STRANGER = -6.0
 #: A single-byte span counts if its changed words gain so much over the clean reading.
 WORDS_GAIN = ENTER_SINGLE
-#: A multi-byte state is tried on a line when it explains a token better by this much.
-TOKEN_GAIN = 1.5
 FLOOR = -13.0
 CASE_BREAK, SCRIPT_BREAK = -4.0, -5.0
 MEMORY_TOKENS = 100_000
-TIMES = 4
 LOST = "�"
 #: Characters that clean text of these languages is made of; tokens with others don't train the model.
 EXPECTED = regex.compile(r"[\x20-\x7e\n\tа-яА-ЯёЁіїєґІЇЄҐÀàÂâÇçÉéÈèÊêËëÎîÏïÔôÛûÙùŒœÄäÖöÜüßÁáÍíÓóÚúÑñ¿¡«»“”„‘’…—–→€©№]+")
@@ -91,31 +85,77 @@ def _decode(read_as: str, seen: str) -> str | None:
         return None
 
 
+@lru_cache(maxsize=1)
+def _codes() -> tuple[str, np.ndarray]:
+    """The letters of the model, case folded, a blank first; and character -> place in them, 0 for all others."""
+    clean = [chr(c) for c in range(1 << 16) if EXPECTED.fullmatch(chr(c)) and not chr(c).isspace()]
+    letters = " " + "".join(sorted({c.lower() for c in clean}))
+    table = np.zeros((1 << 16) + 1, np.uint16)
+    for c in clean:
+        table[ord(c)] = 1 + letters.index(c.lower())
+    for c in range(1 << 16):
+        if chr(c).isspace():
+            table[c] = 1
+    return letters, table
+
+
+def pair_counts(texts: list[str]) -> np.ndarray:
+    """How often each letter of the model stands before each, in tokens wholly of expected characters and at
+    their ends. One look-up per character; every character of every text counts."""
+    letters, table = _codes()
+    n = len(letters) + 1
+    seen = np.frombuffer(" ".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = table[np.minimum(seen, 1 << 16)].astype(np.int64)
+    inside = codes != 1
+    starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+    if len(starts):
+        token = np.cumsum(np.bincount(starts, minlength=len(codes))) - 1
+        odd = np.bincount(token[codes == 0], minlength=len(starts)) > 0
+        codes[inside & odd[np.maximum(token, 0)]] = 0
+    a, b = codes[:-1], codes[1:]
+    held = (a > 0) & (b > 0) & ~((a == 1) & (b == 1))
+    return np.bincount(a[held] * n + b[held], minlength=n * n)
+
+
+def model_of(counts: dict[int, int]) -> dict[str, float]:
+    """Log probabilities of a character after another (case folded), of clean text, from ``pair_counts``."""
+    letters, _ = _codes()
+    n = len(letters) + 1
+    pairs = np.zeros((n, n))
+    for at, times in counts.items():
+        pairs[divmod(at, n)] = times
+    firsts, chars = pairs.sum(1), pairs.sum(0)
+    total = chars.sum() or 1.0
+    model = {letters[a - 1] + letters[b - 1]: log(0.9 * pairs[a, b] / firsts[a] + 0.1 * chars[b] / total) for a, b in zip(*np.nonzero(pairs))}
+    return model | {letters[b - 1]: max(FLOOR, log(0.1 * chars[b] / total)) for b in np.flatnonzero(chars)}
+
+
 def fit(texts: list[str]) -> dict[str, float]:
-    """Log probabilities of a character after another (case folded), of clean text."""
-    pairs, firsts, chars = Counter(), Counter(), Counter()
-    for text in texts:
-        for token in text.split():
-            if EXPECTED.fullmatch(token):
-                token = f" {token.lower()} "
-                pairs.update(zip(token, token[1:]))
-                chars.update(token[1:])
-                firsts.update(token[:-1])
-    total = sum(chars.values()) or 1
-    model = {}
-    for (a, b), n in pairs.items():
-        model[a + b] = log(0.9 * n / firsts[a] + 0.1 * chars[b] / total)
-    for b, n in chars.items():
-        model[b] = max(FLOOR, log(0.1 * n / total))
-    return model
+    return model_of({int(k): int(v) for k, v in enumerate(pair_counts(texts)) if v})
+
+
+def fitted(texts: DataFrame, col: str) -> dict[str, float]:
+    """``fit`` over a whole column: pairs are counted in every partition, sums by pair of letters are few."""
+
+    def run(batches):
+        total = 0
+        for batch in batches:
+            total = total + pair_counts([t for t in batch.column(0).to_pylist() if t])
+        at = np.flatnonzero(total) if isinstance(total, np.ndarray) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at] if len(at) else [], pa.int64())], names=["pair", "n"])
+
+    sums = texts.select(col).mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    return model_of({r["pair"]: r["n"] for r in sums.collect()})  # at most the square of the model's alphabet
 
 
 class Repairer:
-    """The hidden Markov model: one clean state, and one state for each encoding pair."""
+    """The hidden Markov model: one clean state, one state for each encoding pair, and one that emits what a
+    decoder put in the place of bytes it could not read."""
 
     def __init__(self, model: dict[str, float]):
         self.model = model
-        self.states = [("utf-8", m) for m in MULTI_BYTE] + SINGLE_BYTE
+        self.states = [("utf-8", m) for m in MULTI_BYTE] + SINGLE_BYTE + [("utf-8", LOST)]
+        self.lost, self.twice = len(self.states) - 1, _bytes_of("cp1252")
         self.tokens: dict[str, tuple[tuple[int, float], ...]] = {}
         self.pairs: dict[str, float] = {}
         self.singles = [None if s[0] == "utf-8" else {c: c if self.keeps(c, x) else x for c, x in _single(s).items()} for s in self.states]
@@ -126,6 +166,11 @@ class Repairer:
         was set into garbled text later: it stays, in whatever state it is met."""
         return not char.isalpha() and (char == "\xa0" or char in self.model) and x.lower() not in self.model
 
+    def known(self, char: str) -> bool:
+        """Whether a decoded character can be meant: the model has it, or it is one of those that twice garbled
+        text is first decoded to."""
+        return char.lower() in self.model or char in self.twice
+
     def step(self, last: str, char: str) -> float:
         """The log score of a character after another; remembered, as a text has few different pairs."""
         known = self.pairs.get(last + char)
@@ -157,21 +202,25 @@ class Repairer:
     def read(self, state: int, token: str) -> str:
         """The token as this state would have it."""
         written, read_as = self.states[state]
+        if state == self.lost:
+            return token
         if written == "utf-8":
             return _sequences(read_as).sub(lambda m: x if (x := _decode(read_as, m[0])) is not None else m[0], token)
         return token.translate(self.tables[state])
 
     def bounds(self, token: str) -> tuple[tuple[int, float], ...]:
-        """(state, the most that any part of the token gains in it), where that is above 0. Multi-byte
-        states change nothing but their sequences: they are tried, without bound, if the token read
-        with them is better by ``TOKEN_GAIN``."""
+        """(state, the most that any part of the token gains in it), where that is above 0."""
         held = self.tokens.get(token)
         if held is None:
-            found, least = [], self.likely(token) + TOKEN_GAIN
+            found = []
             for k, (written, _) in enumerate(self.states):
                 if written == "utf-8":
-                    if (x := self.read(k, token)) != token and self.likely(x) > least:
-                        found.append((k, inf))
+                    if k == self.lost:
+                        most = inf if LOST in token else 0.0
+                    else:
+                        most = self.most_of_sequences(k, token)
+                    if most > 0:
+                        found.append((k, most))
                 elif (most := self.most(k, token)) > 0:
                     found.append((k, most))
             held = tuple(found)
@@ -206,6 +255,36 @@ class Repairer:
             was = char
         return most
 
+    def most_of_sequences(self, state: int, token: str) -> float:
+        """``most`` for a multi-byte state, which stands on whole sequences and, between them, on ASCII."""
+        ends = self.sequences(state, token)
+        if not ends:
+            return 0.0
+        step, seen = self.step, f"{token} "
+        clean = [step(a, b) for a, b in zip(f" {seen}", seen)]
+        own: dict[int, tuple[float, str]] = {}
+        most = 0.0
+        for i, char in enumerate(seen):
+            held = own.get(i)
+            if held is not None:
+                most = max(most, held[0] + step(held[1], char) - clean[i])
+            if i in ends:
+                stop, x = ends[i]
+                base, last = held if held is not None and held[0] > 0 else (0.0, seen[i - 1] if i else " ")
+                gain = base + step(last, x) - sum(clean[i:stop]) + (0.0 if self.known(x) else STRANGER)
+            elif held is not None and char < "\x80":
+                stop, x, gain = i + 1, char, held[0] + step(held[1], char) - clean[i]
+            else:
+                continue
+            if stop not in own or gain > own[stop][0]:
+                own[stop] = (gain, x)
+        return most
+
+    def sequences(self, state: int, text: str) -> dict[int, tuple[int, str]]:
+        """Where whole sequences of a multi-byte state start, with their ends and what they decode to."""
+        read_as = self.states[state][1]
+        return {m.start(): (m.end(), x) for m in _sequences(read_as).finditer(text, overlapped=True) if (x := _decode(read_as, m[0])) is not None}
+
     def active(self, line: str) -> list[int]:
         """The states that the best path of a line can enter. A span must gain more than its entry costs,
         and gains at most what the best parts of the line's tokens do; spaces read the same in every state."""
@@ -214,10 +293,10 @@ class Repairer:
             if not token.isascii():
                 for k, most in self.bounds(token):
                     gain[k] = gain.get(k, 0.0) + most
-        states = sorted(k for k, most in gain.items() if most > ENTER_SINGLE)
+        states = sorted(k for k, most in gain.items() if most > (ENTER_SINGLE if self.states[k][0] != "utf-8" else ENTER_MULTI))
         if len(states) < 2:
             return states
-        chars, read = {c for c in line if c >= "\x80"}, {}
+        chars, read = {c for c in line if c >= "\x80"}, {}  # a table's reading of the line
         for k in states:
             table = self.singles[k]
             read.setdefault(k if table is None else tuple(map(table.get, chars)), k)  # one state of those that read the line alike
@@ -234,46 +313,43 @@ class Repairer:
         tables = [self.singles[k] for k in active]
         ends = []
         for k in active:
-            written, read_as = self.states[k]
-            ends.append({m.start(): (m.end(), x) for m in _sequences(read_as).finditer(text, overlapped=True) if (x := _decode(read_as, m[0])) is not None} if written == "utf-8" else None)
+            written = self.states[k][0]
+            if k == self.lost:
+                ends.append({i: (i + 1, LOST) for i, c in enumerate(text) if c == LOST})
+                continue
+            ends.append(self.sequences(k, text) if written == "utf-8" else None)
         cost = [ENTER_MULTI if t is None else ENTER_SINGLE for t in tables]
-        step, twice = self.step, _bytes_of("cp1252")  # twice garbled text decodes to characters of this page first
+        step = self.step
+        single = [False, *(t is not None for t in tables)]
         for i in range(n):
             row, char = at[i], text[i]
-            best, slot = None, 0
-            for s, held in enumerate(row):
-                if held is not None and (best is None or held[0] > best[0]):
-                    best, slot = held, s
-            if best is None:
+            held = [(s, h[0], h[1]) for s, h in enumerate(row) if h is not None]
+            if not held:
                 continue
             inside = i > 0 and text[i - 1].isalpha() and char.isalpha()
-            if inside and slot and tables[slot - 1] is not None and row[0] is not None and row[0][0] > best[0] - INSIDE_WORD:
-                slot, best = 0, row[0]
-            score = best[0] + step(best[1], char) - (INSIDE_WORD if inside and slot and tables[slot - 1] is not None else 0.0)
+            score, slot = max((total + step(last, char) - (INSIDE_WORD if inside and single[s] else 0.0), -s) for s, total, last in held)
             if (now := at[i + 1][0]) is None or score > now[0]:
-                at[i + 1][0] = (score, char, i, slot, char)
-            for s, k in enumerate(active):
-                own, enter = row[s + 1], row[0]
-                lost = cost[s] + (INSIDE_WORD if inside and tables[s] is not None else 0.0)
-                if own is None or (enter is not None and enter[0] - lost > own[0]):
-                    source, base = (0, enter) if enter is not None else (slot, best)
-                else:
-                    source, base, lost = s + 1, own, 0.0
-                if tables[s] is not None:
-                    x = tables[s].get(char, char if char < "\x80" else None)
-                    if x is None or (x == char and source != s + 1):
+                at[i + 1][0] = (score, char, i, -slot, char)
+            for s, k in enumerate(active, 1):
+                table, price, own = tables[s - 1], cost[s - 1], row[s]
+                gain, fresh = 0.0, True
+                if table is not None:
+                    x, stop = table.get(char, char if char < "\x80" else None), i + 1
+                    if x is None:
                         continue
-                    stop = i + 1
-                elif i in ends[s]:
-                    stop, x = ends[s][i]
-                    lost -= SEQUENCE if x.lower() in self.model or x in twice else STRANGER
-                elif source == s + 1 and char < "\x80":
-                    stop, x = i + 1, char
+                    price += INSIDE_WORD if inside else 0.0
+                    fresh = x != char  # a span starts with a change
+                elif i in ends[s - 1]:
+                    stop, x = ends[s - 1][i]
+                    gain = 0.0 if k == self.lost or self.known(x) else STRANGER
+                elif own is not None and char < "\x80" and k != self.lost:
+                    stop, x, fresh = i + 1, char, False
                 else:
                     continue
-                score = base[0] - lost + step(base[1], x[-1])
-                if (now := at[stop][s + 1]) is None or score > now[0]:
-                    at[stop][s + 1] = (score, x[-1], i, source, x)
+                # nothing but lost characters is seen in their state, and what follows them is not scored by them
+                best = max((total + (0.0 if k == self.lost else step(last, x)) - (0.0 if t == s else price), -t) for t, total, last in held if fresh or t == s) if fresh or own is not None else None
+                if best is not None and ((now := at[stop][s]) is None or best[0] + gain > now[0]):
+                    at[stop][s] = (best[0] + gain, " " if k == self.lost else x[-1], i, -best[1], x)
         spans: list[list] = []
         i, slot = n, max((s for s in range(len(active) + 1) if at[n][s] is not None), key=lambda s: at[n][s][0])
         while i > 0:
@@ -292,7 +368,7 @@ class Repairer:
         letters with no letter beside them speak for nothing, however many stand in a line; words
         that come out as strange as they were speak for an alphabet the model doesn't know."""
         if self.states[state][0] == "utf-8":
-            return text[start:end] != original
+            return state == self.lost or text[start:end] != original
         while start and text[start - 1].isalpha():
             start, original = start - 1, text[start - 1] + original
         while end < len(text) and text[end].isalpha():
@@ -319,20 +395,19 @@ class Repairer:
         the pairs undone. Twice garbled text is undone as often as a pass still finds spans."""
         if not text or text.isascii():
             return False, text, []
-        undone: list[str] = []
+        undone: set[int] = set()
         lines = text.split("\n")
         for n, line in enumerate(lines):
-            for _ in range(TIMES):
-                active = () if line.isascii() else self.active(line)
-                spans = self.label(line, active) if active else []
-                for start, end, state, original in reversed(spans):
+            past: set[str] = set()
+            while line not in past and not line.isascii():
+                past.add(line)
+                active = self.active(line)
+                for start, end, state, original in reversed(self.label(line, active) if active else []):
                     line = line[:start] + original + line[end:]
-                    undone.append(f"{self.states[state][0]} as {self.states[state][1]}")
-                if not spans:
-                    break
+                    undone.add(state)
             lines[n] = line
-        text = "\n".join(lines)
-        return bool(undone) or LOST in text, text, sorted(set(undone))
+        pairs = sorted(f"{self.states[k][0]} as {self.states[k][1]}" for k in undone if k != self.lost)
+        return bool(undone), "\n".join(lines), pairs
 
 
 @lru_cache(maxsize=2)
@@ -348,12 +423,11 @@ def repair_encoding(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text itself; ``pairs``: the decodings undone; ``complete``: no replacement character is left. Null
     and empty texts are not garbled; other columns are ignored.
 
-    The model of clean text is fitted on a bounded sample (``SAMPLE_DOCUMENTS`` rows of lowest hash);
-    every row is then labelled, whole."""
+    The model of clean text is counted over all rows (garbled text is rare, and made of characters that
+    train nothing or little); every row is then labelled, whole."""
     spark = df.sparkSession
     named = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    sample = named.filter(F.length("_text").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("_id", "_text")).limit(SAMPLE_DOCUMENTS)
-    model = spark.sparkContext.broadcast(tuple(sorted(fit([r["_text"] for r in sample.select("_text").collect()]).items())))
+    model = spark.sparkContext.broadcast(tuple(sorted(fitted(named, "_text").items())))
     kind = named.schema["_id"].dataType.simpleString()
 
     def run(batches):

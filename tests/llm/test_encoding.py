@@ -106,3 +106,51 @@ def test_table(spark):
     assert got.filter("doc_id = 1000").first()["restored"] == RU[0]
     assert got.filter("doc_id = 1004").first()["restored"] == (RU[1] + " ") * 3000 + RU[0]
     assert E.repair_encoding(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("read_as", ["cp1252", "cp1251", "mac_roman", "koi8-r"])
+def test_bounds_leave_out_no_state_that_the_best_path_enters(repairer, read_as):
+    """Labelling with the states that can pay for their entry gives what labelling with all of them does."""
+    r = random.Random(3)
+    every = [k for k in range(len(repairer.states)) if repairer.states[k][0] == "utf-8"]
+    for _ in range(25):
+        words = r.choice(RU + EN + DE + FR + ["—Él dejó la puerta.", "Річка і гора"]).split()
+        for _ in range(r.randint(0, 3)):
+            at = r.randrange(len(words))
+            words[at] = "".join(bytes([b]).decode(read_as, "ignore") or chr(b) for b in words[at].encode())
+        line = " ".join(words)
+        active = [k for k in repairer.active(line) if k in every]
+        score = lambda spans: sorted((a, b, x) for a, b, _, x in spans)
+        assert score(repairer.label(line, active)) == score(repairer.label(line, every))
+
+
+def test_deeply_garbled_text(repairer):
+    seen = RU[0]
+    for _ in range(7):
+        seen = seen.encode().decode("latin-1")
+    assert repairer.repair(seen)[1] == RU[0]
+
+
+def test_lost_characters_leave_the_rest_to_be_restored(repairer):
+    garbled = RU[1].encode().decode("latin-1")
+    found, restored, pairs = repairer.repair(f"{garbled}\n{RU[0][:9]}�{RU[0][10:]}")
+    assert found and restored == f"{RU[1]}\n{RU[0][:9]}�{RU[0][10:]}" and pairs == ["utf-8 as latin-1"]
+    assert repairer.repair("�")[0] and repairer.repair("a��b �")[:2] == (True, "a��b �")
+
+
+def test_pairs_are_counted_as_by_brute_force(spark):
+    from collections import Counter
+
+    texts = [*RU, *EN, *DE, *FR, "", "  ", "日本 он x", "Ab\xa0ab\nя", "🙂 да"]
+    letters, _ = E._codes()
+    want = Counter()
+    for text in texts:
+        for token in text.split():
+            if E.EXPECTED.fullmatch(token):
+                token = f" {token.lower()} "
+                want.update(zip(token, token[1:]))
+    n = len(letters) + 1
+    got = {(letters[k // n - 1], letters[k % n - 1]): v for k, v in enumerate(E.pair_counts(texts)) if v}
+    assert got == want
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").repartition(3)
+    assert E.fitted(df, "t") == E.fit(texts) and E.fitted(df.limit(0), "t") == {}
