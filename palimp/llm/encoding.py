@@ -296,10 +296,11 @@ class Repairer:
         states = sorted(k for k, most in gain.items() if most > (ENTER_SINGLE if self.states[k][0] != "utf-8" else ENTER_MULTI))
         if len(states) < 2:
             return states
-        chars, read = {c for c in line if c >= "\x80"}, {}  # a table's reading of the line
+        chars, read = {c for c in line if c >= "\x80"}, {}
         for k in states:
             table = self.singles[k]
-            read.setdefault(k if table is None else tuple(map(table.get, chars)), k)  # one state of those that read the line alike
+            # one state of those that read the line alike
+            read.setdefault(tuple(map(table.get, chars)) if table is not None else k if k == self.lost else tuple(self.sequences(k, line).items()), k)
         return sorted(read.values())
 
     def label(self, text: str, active: list[int]) -> list[tuple[int, int, int, str]]:
@@ -319,37 +320,47 @@ class Repairer:
                 continue
             ends.append(self.sequences(k, text) if written == "utf-8" else None)
         cost = [ENTER_MULTI if t is None else ENTER_SINGLE for t in tables]
-        step = self.step
+        step, lost = self.step, self.lost
         single = [False, *(t is not None for t in tables)]
+        kinds = [(s, tables[s - 1], ends[s - 1], cost[s - 1], k == lost) for s, k in enumerate(active, 1)]
         for i in range(n):
             row, char = at[i], text[i]
             held = [(s, h[0], h[1]) for s, h in enumerate(row) if h is not None]
-            if not held:
-                continue
             inside = i > 0 and text[i - 1].isalpha() and char.isalpha()
-            score, slot = max((total + step(last, char) - (INSIDE_WORD if inside and single[s] else 0.0), -s) for s, total, last in held)
-            if (now := at[i + 1][0]) is None or score > now[0]:
-                at[i + 1][0] = (score, char, i, -slot, char)
-            for s, k in enumerate(active, 1):
-                table, price, own = tables[s - 1], cost[s - 1], row[s]
-                gain, fresh = 0.0, True
+            score, slot = -inf, 0
+            for s, total, last in held:
+                total += step(last, char) - (INSIDE_WORD if inside and single[s] else 0.0)
+                if total > score:
+                    score, slot = total, s
+            if held and ((now := at[i + 1][0]) is None or score > now[0]):
+                at[i + 1][0] = (score, char, i, slot, char)
+            for s, table, starts, price, is_lost in kinds:
+                own, gain, fresh = row[s], 0.0, True
                 if table is not None:
                     x, stop = table.get(char, char if char < "\x80" else None), i + 1
                     if x is None:
                         continue
-                    price += INSIDE_WORD if inside else 0.0
+                    if inside:
+                        price += INSIDE_WORD
                     fresh = x != char  # a span starts with a change
-                elif i in ends[s - 1]:
-                    stop, x = ends[s - 1][i]
-                    gain = 0.0 if k == self.lost or self.known(x) else STRANGER
-                elif own is not None and char < "\x80" and k != self.lost:
+                elif i in starts:
+                    stop, x = starts[i]
+                    gain = 0.0 if is_lost or self.known(x) else STRANGER
+                elif own is not None and char < "\x80" and not is_lost:
                     stop, x, fresh = i + 1, char, False
                 else:
                     continue
+                score, slot = -inf, -1
                 # nothing but lost characters is seen in their state, and what follows them is not scored by them
-                best = max((total + (0.0 if k == self.lost else step(last, x)) - (0.0 if t == s else price), -t) for t, total, last in held if fresh or t == s) if fresh or own is not None else None
-                if best is not None and ((now := at[stop][s]) is None or best[0] + gain > now[0]):
-                    at[stop][s] = (best[0] + gain, " " if k == self.lost else x[-1], i, -best[1], x)
+                if fresh:
+                    for t, total, last in held:
+                        total += (0.0 if is_lost else step(last, x)) - (0.0 if t == s else price)
+                        if total > score:
+                            score, slot = total, t
+                elif own is not None:
+                    score, slot = own[0] + step(own[1], x), s
+                if slot >= 0 and ((now := at[stop][s]) is None or score + gain > now[0]):
+                    at[stop][s] = (score + gain, " " if is_lost else x[-1], i, slot, x)
         spans: list[list] = []
         i, slot = n, max((s for s in range(len(active) + 1) if at[n][s] is not None), key=lambda s: at[n][s][0])
         while i > 0:
