@@ -6,6 +6,7 @@ from palimp.llm import completeness, defects, encoding, lookalike, mixing, split
 
 QUERIES = {
     "p1_found": lookalike.p1_found,
+    "p1_classes": lookalike.p1_classes,
     "p1_changed": lookalike.p1_changed,
     "p2_found": defects.p2_found,
     "p2_defects": defects.p2_defects,
