@@ -1,39 +1,29 @@
-"""Which of a few languages a paragraph is in, by script, telling letters and function words."""
+"""Which language a paragraph is in: character trigram models of the languages that labelled texts are in."""
 
 from __future__ import annotations
 
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 import regex
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from palimp.llm.lookalike import Speller
+from palimp.plans.durable import spread
 
-#: Common function words, and letters that tell languages of one script apart.
-FUNCTION_WORDS = {
-    "en": "the a an and or but of in on at to from by with without under over near beside behind before after through across into this that these those it he she they we you i his her their our your my its not no nobody someone while until because when so then there every each was were is are had has never always again softly almost",
-    "de": "der die das den dem des ein eine einer einem einen kein keine keiner und oder aber auch in im am auf an zu aus von mit ohne unter über neben hinter vor nach durch bei nahe dieser diese dieses jeder jede jedes es er sie wir ihr ich man sein seine ihre nicht niemand jemand während bis weil wenn also dann war wieder immer niemals langsam zweimal beinahe",
-    "es": "el la los las un una unos unas ningún ninguna y o pero de del en al a desde por con sin bajo sobre cerca junto tras hasta hacia según este esta aquel aquella cada otro otra ello él ella ellos ellas nosotros yo usted su sus mi no nadie alguien mientras porque cuando así entonces que siempre nunca despacio casi también aún",
-    "fr": "le la les un une des aucun aucune et ou mais de du dans au aux à depuis par avec sans sous sur près chez derrière avant après vers ce cet cette chaque il elle ils elles nous vous je on son sa ses leur leurs ne pas personne quelqu'un tandis jusqu'à parce quand puis qui que encore toujours jamais lentement presque",
-    "it": "il lo gli un uno una e o ma di del della nel nella con senza sotto sopra presso dietro prima dopo questo questa quello ogni egli ella loro noi io suo sua non nessuno mentre perché quando poi che sempre mai ancora",
-    "pt": "o os um uma e ou mas de do da no na com sem sob sobre perto atrás antes depois este esta aquele cada ele ela eles nós eu seu sua não ninguém enquanto porque quando então que sempre nunca ainda",
-    "pl": "i albo ale w we na do z bez pod nad obok za przed po przez ten ta to każdy on ona oni my ja jego jej ich nie nikt ktoś podczas aż bo gdy więc że zawsze nigdy znowu",
-    "ru": "и или но а в во на к из от с без под над около возле за перед после через до этот эта это тот та каждый один он она оно они мы вы я его её их наш свой не никто кто-то пока потому когда что чтобы потом был снова всегда никогда медленно почти дважды тихо",
-    "uk": "і й або але та у в на до з зі без під над біля за перед після через цей ця це той кожен один він вона воно вони ми ви я його її їхній наш свій не ніхто хтось поки бо коли що щоб потім був знову завжди ніколи повільно майже двічі тихо",
-}
-LETTERS = {"ru": "ыэъё", "uk": "іїєґ"}
-CYRILLIC = ("ru", "uk")
 WORD = regex.compile(r"\p{L}+(?:['’-]\p{L}+)*")
 #: Characters whose presence makes a text worth folding before it is looked into.
-UNUSUAL = regex.compile(r"[ ­̀-ͯ͏؜ᅟᅠ឴឵᠋-᠎ -‏ -  -⁯　ㅤ︀-️﻿＀-￯\U0001d400-\U0001d7ff]")
+UNUSUAL = regex.compile(r"[ ­̀-ͯ͏؜ᅟᅠ឴឵᠋-᠎ -‏ -  -⁯　ㅤ︀-️﻿＀-￯\U0001d400-\U0001d7ff]")
 IGNORABLE = regex.compile(r"[\p{Default_Ignorable_Code_Point}--\n]|\p{Cf}", flags=regex.V1)
-
-
-@lru_cache(maxsize=1)
-def _sets() -> dict[str, frozenset]:
-    return {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
-
-
+#: Trigrams are counted in this many slots; a language needs this share of all labelled trigrams.
+SLOTS, LEAST_SHARE = 1 << 16, 0.005
+#: Log likelihood ratio from which a paragraph speaks for one language against another.
+SURE = 6.0
+#: Characters scored at once.
+AT_ONCE = 1 << 19
 #: A letter of one script right beside one of another.
 MIXED = regex.compile(r"[A-Za-zÀ-ɏ][Ͱ-ԯ԰-֏]|[Ͱ-ԯ԰-֏][A-Za-zÀ-ɏ]")
 
@@ -51,50 +41,113 @@ def fold(text: str) -> str:
     return _speller().canonical(text) if MIXED.search(text) else text
 
 
-def is_cyrillic(text: str) -> bool | None:
-    """Whether most letters are Cyrillic; None without letters to tell. Looks at every character."""
-    two = len(text.encode("utf-8", "replace")) - len(text)
-    letters = len(text) - text.count(" ") - text.count("\n")
-    return None if not letters else two > 0.45 * letters
-
-
-def language(paragraph: str) -> str | None:
-    """The language of most evidence, or None where there is none or a tie across scripts cannot be
-    told. Numbers, marks and unknown words are no evidence."""
-    words = [w.lower() for w in WORD.findall(paragraph)]
-    if not words:
-        return None
-    cyrillic = is_cyrillic(" ".join(words))
-    scores = {}
-    for lang, held in _sets().items():
-        if (lang in CYRILLIC) == bool(cyrillic):
-            scores[lang] = sum(w in held for w in words)
-    if cyrillic:
-        low = paragraph.lower()
-        for lang, letters in LETTERS.items():
-            scores[lang] += 2 * sum(low.count(c) for c in letters)
-    best = max(scores, key=scores.get)
-    if not scores[best]:
-        return "cyrillic" if cyrillic else "latin"
-    return best
-
-
-def differs(found: str | None, target: str) -> bool | None:
-    """Whether a paragraph of language ``found`` is surely not in ``target``; None if unknown."""
-    if found is None:
-        return None
-    if found in ("cyrillic", "latin"):
-        return True if (found == "cyrillic") != (target in CYRILLIC) else None
-    return found != target
-
-
-def surely_in(text: str, target: str) -> bool:
-    """A quick look at a whole text: nothing in it speaks for another language."""
-    cyrillic = is_cyrillic(text)
-    if target in CYRILLIC:
-        if not cyrillic:
-            return False
-        other = "uk" if target == "ru" else "ru"
-        own, strange = (sum(text.count(c) for c in LETTERS[lang]) for lang in (target, other))
-        return own > 4 * strange
-    return False
+@lru_cache(maxsize=1)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """Character -> itself in lower case if it is a letter, else 0; and whether it is Cyrillic (2), another
+    letter (1) or none (0)."""
+    low, script = np.zeros((1 << 16) + 1, np.int64), np.zeros((1 << 16) + 1, np.int8)
+    for code in range(1 << 16):
+        c = chr(code)
+        if c.isalpha():
+            low[code] = min(ord(c.lower()[:1]), 1 << 16)
+            script[code] = 2 if unicodedata.name(c, "").startswith("CYRILLIC") else 1
+    return low, script
+
+
+def _read(paragraphs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slot of the trigram around each character, or -1 where that is no letter; script of each character;
+    where each paragraph starts)."""
+    seen = np.minimum(np.frombuffer((" " + " ".join(paragraphs) + " ").encode("utf-32-le", "surrogatepass"), np.uint32), 1 << 16)
+    low, scripts = _letters()
+    letters, script = low[seen], scripts[seen]
+    slots = np.full(len(seen), -1)
+    mixed = (letters[:-2] * 0x9E3779B1 ^ letters[1:-1] * 0x85EBCA77 ^ letters[2:] * 0xC2B2AE3D) & 0xFFFFFFFF
+    slots[1:-1] = np.where(letters[1:-1] > 0, (mixed * 0x27D4EB2F >> 15) % SLOTS, -1)
+    starts = np.cumsum([1, *(len(p) + 1 for p in paragraphs[:-1])]) if paragraphs else np.zeros(0, np.int64)
+    return slots, script, starts
+
+
+def trigram_counts(texts: list[str]) -> np.ndarray:
+    slots = _read(texts)[0]
+    return np.bincount(slots[slots >= 0], minlength=SLOTS)
+
+
+class Languages:
+    """Log probabilities of trigrams by language, add-one smoothed, from ``counts[language][slot]``."""
+
+    def __init__(self, counts: dict[str, dict[int, int]]):
+        totals = {lang: sum(c.values()) for lang, c in counts.items()}
+        whole = sum(totals.values())
+        self.names = sorted(lang for lang, n in totals.items() if n >= LEAST_SHARE * whole and n > 0)
+        self.table = np.zeros((SLOTS, len(self.names)), np.float32)
+        self.cyrillic: dict[str, bool] = {}
+        for i, lang in enumerate(self.names):
+            held = np.ones(SLOTS)
+            for slot, n in counts[lang].items():
+                held[slot] += n
+            self.table[:, i] = np.log(held / held.sum())
+
+    def scores(self, paragraphs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log likelihood by paragraph and language, Cyrillic letters, letters)."""
+        out, cyrillic, letters, at = np.zeros((len(paragraphs), len(self.names))), np.zeros(len(paragraphs), np.int64), np.zeros(len(paragraphs), np.int64), 0
+        while at < len(paragraphs):
+            stop, size = at, 0
+            while stop < len(paragraphs) and (stop == at or size + len(paragraphs[stop]) < AT_ONCE):
+                size += len(paragraphs[stop]) + 1
+                stop += 1
+            slots, script, starts = _read(paragraphs[at:stop])
+            held = np.where((slots >= 0)[:, None], self.table[slots], 0.0)
+            out[at:stop] = np.add.reduceat(held, starts)
+            cyrillic[at:stop] = np.add.reduceat((script == 2).astype(np.int64), starts)
+            letters[at:stop] = np.add.reduceat((script > 0).astype(np.int64), starts)
+            at = stop
+        return out, cyrillic, letters
+
+    def differ(self, paragraphs: list[str], targets: list[str]) -> list[bool | None]:
+        """Whether each paragraph is surely not in its target language; None if it speaks for neither. A target
+        that no labelled text is in is told by its script only."""
+        if not paragraphs:
+            return []
+        scores, cyrillic, letters = self.scores(paragraphs)
+        place = {lang: i for i, lang in enumerate(self.names)}
+        out: list[bool | None] = []
+        for n, target in enumerate(targets):
+            verdict = None
+            base = target.lower().replace("_", "-").split("-", 1)[0]
+            if letters[n]:
+                i = place.get(base)
+                if i is not None and len(self.names) > 1:
+                    ratio = max(scores[n, j] for j in range(len(self.names)) if j != i) - scores[n, i]
+                    verdict = True if ratio > SURE else False if ratio < -SURE else None
+                if verdict is None and (2 * cyrillic[n] > letters[n]) != (base in CYRILLIC):
+                    verdict = True
+            out.append(verdict)
+        return out
+
+
+#: Languages written in Cyrillic.
+CYRILLIC = ("ru", "uk", "be", "bg", "mk", "sr", "kk", "ky", "mn", "tg")
+
+
+def fitted(texts: DataFrame, lang: str = "lang", text: str = "text") -> dict[str, dict[int, int]]:
+    """Trigram counts by label over all labelled texts, counted in the partitions and summed by label and slot.
+    Few labels are wrong, so they weigh little; the labels are as few as languages, the slots are ``SLOTS``."""
+
+    def run(batches):
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            by: dict[str, list[str]] = {}
+            for label, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                by.setdefault(label, []).append(value)
+            for label, values in by.items():
+                total[label] = total.get(label, 0) + trigram_counts(values)
+        for label, counts in total.items():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["label", "slot", "n"])
+
+    named = texts.select(F.lower(lang).alias("_lang"), F.col(text).alias("_text")).filter("_lang is not null and _text is not null")
+    sums = spread(named).mapInArrow(run, "label string, slot int, n bigint").groupBy("label", "slot").agg(F.sum("n").alias("n"))
+    out: dict[str, dict[int, int]] = {}
+    for row in sums.collect():
+        out.setdefault(row["label"], {})[row["slot"]] = row["n"]
+    return out

@@ -14,6 +14,7 @@ QUERIES = {
     "p3_terms": terms.p3_terms,
     "p4_found": completeness.p4_found,
     "p4_rates": completeness.p4_rates,
+    "p4_baseline": completeness.p4_baseline,
     "p5_found": splitting.p5_found,
     "p5_pieces": splitting.p5_pieces,
     "p6_ids": tokenizer.p6_ids,
