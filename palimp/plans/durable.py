@@ -2,29 +2,68 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+#: A written table is broadcast up to this many rows, of some 60 bytes each.
+BROADCAST_ROWS = 400_000
+
+
+class NoCheckpointFolder(RuntimeError):
+    """The session names no shared folder, and none can be guessed on a cluster."""
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the session's ``spark.checkpoint.dir`` where it is set, else
-    (tests, single machine) a temporary folder of our own."""
+    """The shared checkpoint folder: the session's ``spark.checkpoint.dir``. Where that is unset, a temporary
+    folder in tests on a single machine; on a cluster, whose machines share no such folder, an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimp-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            if not re.fullmatch(r"local(\[.*)?", context.master):
+                raise NoCheckpointFolder("set spark.checkpoint.dir to a folder that all executors reach")
+            named = tempfile.mkdtemp(prefix="palimp-")
+        context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back, so that later stages neither
-    recompute it nor depend on any executor that made it."""
+    recompute it nor depend on any executor that made it. Spark removes it when nothing refers to it any
+    more, if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set; else ``clean`` does at the end."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def clean(spark: SparkSession) -> None:
+    """Removes this application's checkpoints. Frames that were read from them can no longer be used."""
+    place = spark.sparkContext.getCheckpointDir()
+    if place is not None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+
+
+def meet(large: DataFrame, small: DataFrame, on: list, how: str) -> DataFrame:
+    """A join with a written table: broadcast if counting shows that it is small, else left to the planner."""
+    return large.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in at least as many partitions as the cluster has task slots. Large inputs already are
-    and stay as they are read; only inputs of a few files are redistributed before CPU-bound work."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
+    """``df`` in at least as many partitions as the cluster has task slots. Large inputs are read in as many and
+    stay as they are; only inputs of a few small files are redistributed before CPU-bound work. What is not
+    read from files is left as it is planned. Told from the files' sizes: nothing is planned or run."""
+    spark = df.sparkSession
+    slots, files = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if not files or len(files) >= slots:
+        return df
+    path, hadoop = spark._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    sizes = [path(f).getFileSystem(hadoop).getFileStatus(path(f)).getLen() for f in files]
+    conf = spark._jsparkSession.sessionState().conf()
+    open_cost = conf.filesOpenCostInBytes()
+    split = min(conf.filesMaxPartitionBytes(), max(open_cost, (sum(sizes) + open_cost * len(sizes)) // slots))
+    return df if sum(-(-size // split) for size in sizes) >= slots else df.repartition(slots)

@@ -232,10 +232,21 @@ def test_snapshots(spark, tmp_path, history):
     snapshots.swap(spark.range(3), folder)
     snapshots.swap(spark.range(5), folder)
     assert snapshots.read(spark, folder).count() == 5
-    snapshots.chunker_params(folder, {"target": 150})
-    snapshots.chunker_params(folder, {"target": 150})
+    snapshots.chunker_params(spark, folder, {"target": 150})
+    snapshots.chunker_params(spark, folder, {"target": 150})
     with pytest.raises(snapshots.ChunkerMismatch):
-        snapshots.chunker_params(folder, {"target": 99})
+        snapshots.chunker_params(spark, folder, {"target": 99})
+    assert snapshots.meta(spark, folder, "none") is None
+    snapshots.set_meta(spark, folder, "run", {"a": ["ж"]})
+    assert snapshots.meta(spark, folder, "run") == {"a": ["ж"]}
+    copied = str(tmp_path / "copy")
+    assert snapshots.backup(spark, str(tmp_path / "nothing"), copied) is None and snapshots.backup(spark, folder, copied) and snapshots.read(spark, copied).count() == 5
+    state = {}
+    for stage in ("glossary", "pause_1", "translate", "done", "done"):
+        state = snapshots.advance(state, stage)
+    assert state == {"stage": "done", "completed": ["glossary", "translate", "done"]} and snapshots.taken_back(state) == {"stage": "done", "completed": ["glossary"]}
+    with pytest.raises(ValueError):
+        snapshots.advance(state, "nap")
     snapshots.check_preference(history, 1, "c1", "style")
     for stage in ("repair", "judge"):
         with pytest.raises(ValueError):

@@ -68,9 +68,14 @@ def test_stream(spark, tmp_path):
             df.filter(more).coalesce(1).write.mode("append").parquet(place)
         stream = spark.readStream.schema(df.schema).parquet(place)
         ingest.keep_latest(stream, latest, checkpoint).awaitTermination(120)
-    assert {(r["key"], r["seq"]) for r in spark.read.parquet(f"{latest}/batch=1").collect()} == {("a", 3), ("b", 2)}
+    assert {(r["key"], r["seq"]) for r in ingest.latest(spark, latest).collect()} == {("a", 3), ("b", 2)}
+    ingest.compact(spark, latest)
+    assert {(r["key"], r["seq"]) for r in spark.read.parquet(latest).collect()} == {("a", 3), ("b", 2)}
+    df.filter("seq >= 3").withColumn("seq", F.col("seq") + 10).coalesce(1).write.mode("append").parquet(place)
+    ingest.keep_latest(spark.readStream.schema(df.schema).parquet(place), latest, checkpoint).awaitTermination(120)
+    assert {(r["key"], r["seq"]) for r in ingest.latest(spark, latest).collect()} == {("a", 13), ("b", 2)}
     stream = spark.readStream.schema(df.schema).parquet(place)
     query = ingest.stage_activity(stream).writeStream.format("memory").queryName("activity").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     query.awaitTermination(120)
-    want = {tuple(r) for r in ingest.stage_activity(df).collect()}
+    want = {tuple(r) for r in ingest.stage_activity(spark.read.parquet(place)).collect()}
     assert {tuple(r) for r in spark.table("activity").collect()} == want and len(want) == 4
