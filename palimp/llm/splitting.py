@@ -10,11 +10,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimp.plans.durable import durable
+from palimp.plans.durable import durable, meet
 
 LIMIT = 150
-#: Places of oversized chunks are broadcast up to this many rows (of some 60 bytes); more are shuffled.
-BROADCAST_ROWS = 400_000
 #: A sentence ends here; its last character stays with it.
 SENTENCE_END = regex.compile(r"(?<=[.!?…»])\s+")
 #: Words on either side of a gap whose likeness is compared.
@@ -156,11 +154,6 @@ def split_chunk(indexes: list[int], texts: list[str | None], limit: int = LIMIT,
     return pieces
 
 
-def _met(large: DataFrame, small: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """A join with a written table, which is broadcast if it is counted to be small enough."""
-    return large.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, keys, how)
-
-
 def split_oversized(chunks: DataFrame, paragraphs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """The pieces of every chunk whose paragraphs hold more than ``limit`` words (``PIECES``).
 
@@ -178,10 +171,10 @@ def split_oversized(chunks: DataFrame, paragraphs: DataFrame, limit: int = LIMIT
     listed = named.distinct().select("book_id", "chunk_id", "chapter_idx", F.explode("_list").alias("para_idx"))
     large = durable(listed.join(counts, keys).groupBy("book_id", "chunk_id").agg(F.sum("_n").alias("_n")).filter(F.col("_n") > limit).select("book_id", "chunk_id"))
     reach = F.concat(F.array(F.struct(F.lit(-1).alias("pos"), (F.array_min("_list") - 1).alias("idx"))), F.transform("_list", lambda x, i: F.struct(i.alias("pos"), x.alias("idx"))), F.array(F.struct(F.lit(2**31 - 1).alias("pos"), (F.array_max("_list") + 1).alias("idx"))))
-    over_any = _met(named, large, ["book_id", "chunk_id"], "left_semi").distinct()
+    over_any = meet(named, large, ["book_id", "chunk_id"], "left_semi").distinct()
     wanted = durable(over_any.select("book_id", "chunk_id", "chapter_idx", F.explode(reach).alias("_at")).select("book_id", "chunk_id", "chapter_idx", F.col("_at.pos").alias("_pos"), F.col("_at.idx").alias("para_idx")))
     texts = paragraphs.select(*keys, F.col("text").alias("_text")).filter("_text is not null")
-    held = _met(texts, wanted, keys, "inner").select("book_id", "chunk_id", F.struct(F.col("_pos").alias("pos"), F.col("para_idx").alias("idx"), F.col("_text").alias("text"), words("_text").alias("n")).alias("_p"))
+    held = meet(texts, wanted, keys, "inner").select("book_id", "chunk_id", F.struct(F.col("_pos").alias("pos"), F.col("para_idx").alias("idx"), F.col("_text").alias("text"), words("_text").alias("n")).alias("_p"))
     grouped = held.groupBy("book_id", "chunk_id").agg(F.array_sort(F.collect_set("_p")).alias("_ps"))
     inner = F.filter("_ps", lambda p: p["pos"].between(0, 2**31 - 2))
     over = grouped.filter(F.aggregate(inner, F.lit(0), lambda s, p: s + p["n"]) > limit)

@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimp.plans.durable import durable
+from palimp.plans.durable import durable, meet
 
 #: A maximal run of letters; one apostrophe or hyphen between two letters belongs to it.
 TERM = r"\p{L}+(?:['’-]\p{L}+)*"
@@ -21,14 +21,14 @@ NOT_BLANK = r"(?U)\S"
 
 
 def _records(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``_text`` of every record once. Which keys have several rows is told by digests; only the texts of
+    """``_text`` of every record once. Which keys have several rows is told by the keys alone; only the texts of
     those keys are moved, so that the smallest can be kept."""
     names = [f"_k{i}" for i in range(len(keys))]
     named = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(text).alias("_text")).filter(F.col("_text").rlike(NOT_BLANK))
-    several = named.select(*names).groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*[F.col(n).alias(f"{n}r") for n in names])
+    several = durable(named.select(*names).groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*[F.col(n).alias(f"{n}r") for n in names]))
     same = [F.col(n).eqNullSafe(F.col(f"{n}r")) for n in names]
-    lone = named.join(several, same, "left_anti").select("_text")
-    again = named.join(several, same, "left_semi").groupBy(*names).agg(F.min("_text").alias("_text")).select("_text")
+    lone = meet(named, several, same, "left_anti").select("_text")
+    again = meet(named, several, same, "left_semi").groupBy(*names).agg(F.min("_text").alias("_text")).select("_text")
     return lone.unionByName(again)
 
 
