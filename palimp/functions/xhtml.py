@@ -184,6 +184,25 @@ def note(ns: str, number: int, text: str, epub3: bool) -> ET.Element:
     return item
 
 
+#: How notes look, and the marker by which the rules are found again.
+STYLE_ID = "reader-notes-style"
+STYLE = f".{MARK}{{font-size:.75em;line-height:0}} .{BLOCK}{{margin-top:2em;border-top:1px solid}} .{TITLE}{{font-weight:bold}} .{ITEM}{{font-size:.9em;margin:.5em 0}} .{BACK}{{text-decoration:none}}"
+
+
+def ensure_styles(root: ET.Element) -> bool:
+    """Puts the rules for notes into the document's head, once; False if they were there. A document without a
+    head gets one."""
+    if any(e.get("id") == STYLE_ID for e in root.iter()):
+        return False
+    ns = root.tag[: root.tag.index("}") + 1] if root.tag.startswith("{") else ""
+    head = next((e for e in root if local(e) == "head"), None)
+    if head is None:
+        head = ET.Element(f"{ns}head")
+        root.insert(0, head)
+    ET.SubElement(head, f"{ns}style", {"id": STYLE_ID, "type": "text/css"}).text = STYLE
+    return True
+
+
 def add_notes(root: ET.Element, notes: list[ET.Element], epub3: bool, heading: str) -> None:
     """Notes at the end of the body: bare in EPUB 3, else in one block under a heading, made once."""
     ns = root.tag[: root.tag.index("}") + 1] if root.tag.startswith("{") else ""
@@ -244,5 +263,6 @@ def inject(chapters: list[ET.Element], terms: list[tuple[str, str | None, str]],
                         done.add(term)
         if notes:
             add_notes(chapter, notes, epub3, heading)
+            ensure_styles(chapter)
             renumber(chapter)
     return noted

@@ -13,6 +13,7 @@ from palimp.operators import waterfall as W
 from palimp.plans.durable import durable
 from palimp.plans.pipeline import checked
 from palimp.plans.queries_revisions import EXPECTED, JUDGE, NEWEST, PARSES, REV, VALID, expected, rev, w
+from palimp.sources import epub
 from palimp.sources.tables import table
 
 WORD = r"[^\s\p{Z}\x{85}]+"
@@ -147,6 +148,32 @@ def _glossary_replies(s, r):
     return glossary.read_replies(replies, "book_id", "reply")
 
 
+def book():
+    return F.regexp_extract("path", r"(\d+)", 1).cast("bigint").alias("book_id")
+
+
+#: Every paragraph once, with what an archive made of the tables holds; ``place`` and ``n`` are what reading finds.
+HELD = r"""bok AS (SELECT * FROM books),
+par AS (SELECT book_id, chapter_idx, para_idx, arg_min(tag, text) AS tag, min(text) AS text FROM paragraphs WHERE book_id IS NOT NULL AND chapter_idx IS NOT NULL AND para_idx IS NOT NULL AND text IS NOT NULL GROUP BY ALL),
+pla AS (SELECT par.*, dense_rank() OVER (PARTITION BY book_id ORDER BY chapter_idx) - 1 AS place FROM par WHERE book_id IN (SELECT book_id FROM books)),
+red AS (SELECT *, row_number() OVER (PARTITION BY book_id, place ORDER BY para_idx) - 1 AS n, len(regexp_extract_all(text, '[^\s\p{Z}\x{85}]+')) AS words FROM pla WHERE regexp_matches(text, '[^\s\p{Z}\x{85}]'))"""
+
+
+def _archives(s, r):
+    """The tables hold no archives: each book is made into one."""
+    keyed = table(s, r, "paragraphs", "book_id", "chapter_idx", "para_idx", "tag", "text").filter("book_id is not null and chapter_idx is not null and para_idx is not null and text is not null")
+    once = keyed.groupBy("book_id", "chapter_idx", "para_idx").agg(F.min_by("tag", "text").alias("tag"), F.min("text").alias("text"))
+    return epub.build_archives(table(s, r, "books"), once)
+
+
+def _rewritten(s, r):
+    """Every paragraph of every archive replaced by its text without capitals, and read again."""
+    held = _archives(s, r)
+    texts = epub.read_paragraphs(held).select("path", "chapter_idx", "para_idx", F.concat(F.lit("<"), "tag", F.lit(">"), X.escape_ampersands(F.lower("text")), F.lit("</"), "tag", F.lit(">")).alias("xhtml"))
+    return epub.read_paragraphs(epub.translate_archives(held, texts, "xx").select("path", "content"))
+
+
+HEADS = {"FFD8FFE000104A46": "image/jpeg", "89504E470D0A1A0A00": "image/png", "52494646000000005745425056503820": "image/webp", "52494646000000005741564500": None, "474946383961": "image/gif", "474946383761": "image/gif", "424D00": "image/bmp", "49492A00": "image/tiff", "4D4D002A": "image/tiff", "25504446": None}
 PATHS = ["OEBPS/./text/../images/{}.xhtml#p1", "{}//a/../../b.xhtml?x=1", "../../{}.png", "a/b/c/../../{}/./d.html?q#f"]
 OUTCOME = r"""rep AS (SELECT DISTINCT completion_id, text, user_prompt FROM completions WHERE stage = 'proofread'),
 obj AS (SELECT *, regexp_extract_all(text, '\{"p":\s*\d+,\s*"text":\s*"(?:[^"\\]|\\.)*"\}') AS objs,
@@ -389,6 +416,32 @@ SELECT lang, name FROM tag LEFT JOIN known ON code = split_part(replace(lower(la
         """SELECT book_id, CAST(shape AS INT) AS shape, CASE shape WHEN 0 THEN 'OEBPS/images/' || t || '.xhtml' WHEN 1 THEN 'b.xhtml' WHEN 2 THEN t || '.png' ELSE 'a/' || t || '/d.html' END AS path
 FROM (SELECT book_id, regexp_replace(title, '[^A-Za-z]', '_', 'g') AS t, unnest(range(4)) AS shape FROM books)""",
     ),
+    "epub_meta": (
+        lambda s, r: epub.read_meta(_archives(s, r)).select(book(), "title", "author", "language", "epub_version", "word_count", "n_chapters", "n_paragraphs", "problem"),
+        w(HELD, """SELECT bok.book_id, coalesce(nullif(trim(title), ''), CAST(book_id AS VARCHAR)) AS title, coalesce(nullif(trim(author), ''), 'Unknown') AS author, coalesce(nullif(trim(book_lang), ''), 'en') AS language, coalesce(epub_version, '2.0') AS epub_version,
+  CAST(sum(words) AS BIGINT) AS word_count, CAST(max(titles) AS INT) AS n_chapters, CAST(count(*) AS INT) AS n_paragraphs, CAST(NULL AS VARCHAR) AS problem
+FROM bok JOIN red USING (book_id) JOIN (SELECT book_id, max(place) + 1 AS titles FROM pla GROUP BY book_id) USING (book_id) GROUP BY ALL"""),
+    ),
+    "epub_paragraphs": (
+        lambda s, r: epub.read_paragraphs(_archives(s, r)).select(book(), "chapter_idx", "para_idx", "tag", F.md5("text").alias("digest"), "n_words"),
+        w(HELD, "SELECT book_id, CAST(place AS INT) AS chapter_idx, CAST(n AS INT) AS para_idx, coalesce(tag, 'p') AS tag, md5(text) AS digest, CAST(words AS INT) AS n_words FROM red"),
+    ),
+    "epub_chapters": (
+        lambda s, r: epub.read_chapters(_archives(s, r)).select(book(), "pos", "name", F.length(F.regexp_replace("text", r"(?U)\s+", "")).alias("n_chars")),
+        w(HELD, "SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY place) - 1 AS INT) AS pos, format('OEBPS/text/{:05d}.xhtml', place) AS name, CAST(sum(length(regexp_replace(text, '[\\s\\p{Z}\\x{85}]+', '', 'g'))) AS INT) AS n_chars FROM red GROUP BY book_id, place"),
+    ),
+    "epub_spine": (
+        lambda s, r: epub.read_items(_archives(s, r)).select(book(), "item_id", "name", "spine_place").filter("spine_place is not null"),
+        w(HELD, "SELECT DISTINCT book_id, 'c' || place AS item_id, format('OEBPS/text/{:05d}.xhtml', place) AS name, CAST(place AS INT) AS spine_place FROM pla"),
+    ),
+    "epub_rewritten": (
+        lambda s, r: _rewritten(s, r).select(book(), "chapter_idx", "para_idx", F.md5("text").alias("digest")),
+        w(HELD, "SELECT book_id, CAST(place AS INT) AS chapter_idx, CAST(n AS INT) AS para_idx, md5(lower(text)) AS digest FROM red"),
+    ),
+    "mime_sniff": (
+        lambda s, r: table(s, r, "books", "book_id", F.explode(F.array(*map(F.lit, HEADS))).alias("head")).select("book_id", "head", X.image_type(F.unhex(F.concat("head", F.hex(F.col("book_id").cast("string"))))).alias("media_type")),
+        "SELECT book_id, head, media_type FROM books, (VALUES " + ", ".join(f"('{h}', {repr(m) if m else 'NULL'})" for h, m in HEADS.items()) + ") AS t(head, media_type)",
+    ),
     "slugs": (
         lambda s, r: slug(table(s, r, "books", "book_id", "title"), "title"),
         r"SELECT book_id, title, coalesce(nullif(trim(regexp_replace(lower(regexp_replace(strip_accents(title), '[^\x00-\x7f]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'book') AS slug FROM books",

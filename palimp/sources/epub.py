@@ -31,6 +31,13 @@ def _local(tag) -> str:
     return tag.rsplit("}", 1)[-1] if isinstance(tag, str) else ""
 
 
+def _image_link(element: ET.Element) -> str | None:
+    """What an ``img`` or an SVG ``image`` shows."""
+    if _local(element.tag).lower() not in ("img", "image"):
+        return None
+    return next((v for k, v in element.attrib.items() if _local(k) in ("src", "href")), None)
+
+
 class Archive:
     """What one archive's package says."""
 
@@ -86,11 +93,21 @@ class Archive:
         tries += [("property", i) for i in self.items if "cover-image" in i.get("properties", "")]
         tries += [("name", i) for i in self.items if i.get("media-type", "").startswith("image/") and "cover" in (i.get("id", "") + " " + i.get("href", "")).lower()]
         for how, item in tries:
-            if item:
-                name = self.member(item.get("href", ""))
-                return (name, item.get("media-type", "image/jpeg"), how) if name else None
+            if item and (name := self.member(item.get("href", ""))):
+                return name, item.get("media-type", "image/jpeg"), how
         return None
 
+    def cover_pages(self, cover: str):
+        """(member, root, the elements that show it) of every page that shows the cover image."""
+        for item in self.items:
+            name = self.member(item.get("href", "")) if item.get("media-type") in DOCUMENTS else None
+            if name:
+                root = xhtml.read(self.zip.read(name))
+                here = posixpath.dirname(name)
+                shown = [e for e in root.iter() if (link := _image_link(e)) and posixpath.normpath(posixpath.join(here, unquote(urlparse(link).path))) == cover]
+                if shown:
+                    yield name, root, shown
+
     def books(self):
         """The books of an anthology: the top points of its table of contents."""
         ncx = next((self.member(i["href"]) for i in self.items if i.get("media-type") == "application/x-dtbncx+xml"), None)
@@ -145,14 +162,16 @@ def _each(df: DataFrame, schema: str, rows) -> DataFrame:
 
 
 def read_meta(df: DataFrame) -> DataFrame:
-    """One row per archive; an unreadable one has only its ``problem``."""
+    """One row per archive; an unreadable one has only its ``problem``. Without a title the file's name stands for
+    it, without a language English."""
 
     def rows(a: Archive):
-        roots = [root for _, _, root in a.chapters()]
-        texts = [xhtml.plain(r) for r in roots]
-        yield a.first("title", "Untitled"), a.first("creator", "Unknown"), a.first("language", "und"), a.version, sum(len(t.split()) for t in texts), len(roots), sum(len(xhtml.paragraphs(r)) for r in roots), None
+        held = [xhtml.paragraphs(root) for _, _, root in a.chapters()]
+        words = sum(len(xhtml.plain(e).split()) for es in held for e in es)
+        yield a.first("title"), a.first("creator", "Unknown"), a.first("language", "en"), a.version, words, len(held), sum(map(len, held)), None
 
-    return _each(df, META, rows)
+    stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    return _each(df, META, rows).withColumn("title", F.when(F.col("title") == "", stem).otherwise(F.col("title")))
 
 
 def read_chapters(df: DataFrame) -> DataFrame:
@@ -274,19 +293,136 @@ def translate_archives(df: DataFrame, texts: DataFrame, language: str | None = N
     return joined.mapInPandas(run, "path string, content binary, n_failed int")
 
 
-def replace_cover(content: bytes, image: bytes, media_type: str) -> bytes:
-    """The archive with another cover image; its manifest item gets the type and, if missing, the
-    cover-image property. Without a cover the archive comes back as it is."""
+def _resized(root: ET.Element, shown: list[ET.Element], width: int, height: int) -> bool:
+    """Gives the image, and an SVG around it, the new size where they name one in plain pixels; a share or a size
+    with a unit is the book's layout and stays. Whether anything changed."""
+    size, before = {"width": str(width), "height": str(height)}, ET.tostring(root)
+    around = [e for e in root.iter() if _local(e.tag) == "svg" and any(x in shown for x in e.iter())]
+    for e in [*shown, *around]:
+        for name, value in size.items():
+            if (e.get(name) or "").strip().isdigit():
+                e.set(name, value)
+        box = re.split(r"[\s,]+", (e.get("viewBox") or "").strip())
+        if e in around and len(box) == 4:
+            e.set("viewBox", " ".join([*box[:2], *size.values()]))
+    return ET.tostring(root) != before
+
+
+def _declared(a: Archive, cover: str, media_type: str | None, title: str | None, author: str | None, everywhere: bool = False) -> bool:
+    """Makes the package name the cover: its item's type, the ``cover-image`` property in EPUB 3, the ``cover`` meta
+    where the property is not (or ``everywhere``, as some readers know no other), a guide reference to the
+    page that shows it; and title and author if given. Whether anything changed."""
+    before = ET.tostring(a.opf)
+    ns = a.opf.tag[: a.opf.tag.index("}") + 1] if a.opf.tag.startswith("{") else ""
+    item = next((e for e in a.opf.iter() if _local(e.tag) == "item" and a.member(e.get("href", "")) == cover), None)
+    if item is not None:
+        if media_type:
+            item.set("media-type", media_type)
+        if a.version.startswith("3") and "cover-image" not in item.get("properties", "").split():
+            item.set("properties", f"{item.get('properties', '')} cover-image".strip())
+        metadata = next((e for e in a.opf.iter() if _local(e.tag) == "metadata"), None)
+        metas = [e for e in a.opf.iter() if _local(e.tag) == "meta" and e.get("name") == "cover"]
+        if metas:
+            metas[0].set("content", item.get("id", ""))
+        elif metadata is not None and (everywhere or "cover-image" not in item.get("properties", "")):
+            ET.SubElement(metadata, f"{ns}meta", {"name": "cover", "content": item.get("id", "")})
+    page = next((name for name, *_ in a.cover_pages(cover)), None)
+    if page and not any(_local(e.tag) == "reference" and e.get("type") == "cover" for e in a.opf.iter()):
+        guide = next((e for e in a.opf.iter() if _local(e.tag) == "guide"), None)
+        guide = ET.SubElement(a.opf, f"{ns}guide") if guide is None else guide
+        ET.SubElement(guide, f"{ns}reference", {"type": "cover", "title": "Cover", "href": posixpath.relpath(page, a.base or ".")})
+    for field, value in (("title", title), ("creator", author)):
+        held = next((e for e in a.opf.iter() if _local(e.tag) == field), None)
+        if value and held is not None:
+            held.text = value
+    return ET.tostring(a.opf) != before
+
+
+def replace_cover(content: bytes, image: bytes, media_type: str | None = None, title: str | None = None, author: str | None = None) -> bytes:
+    """The archive with another cover image: declared in the package, and pages that show it sized to it. The type
+    is told from the image if not given; one that is no image is an error. Without a cover the archive
+    comes back as it is."""
     a = Archive(content)
     found = a.cover()
     if not found:
         return content
-    for e in a.opf.iter():
-        if _local(e.tag) == "item" and a.member(e.get("href", "")) == found[0]:
-            e.set("media-type", media_type)
-            if a.version.startswith("3") and "cover-image" not in e.get("properties", ""):
-                e.set("properties", (e.get("properties", "") + " cover-image").strip())
-    return rewrite(content, {found[0]: image, a.opf_name: _document(a.opf)})
+    media_type = media_type or image_type(image)
+    if media_type is None:
+        raise ValueError("not an image of a known type")
+    changed, size = {found[0]: image}, image_size(image)
+    for name, root, shown in a.cover_pages(found[0]) if size else ():
+        if _resized(root, shown, *size):
+            changed[name] = _document(root)
+    _declared(a, found[0], media_type, title, author)
+    return rewrite(content, changed | {a.opf_name: _document(a.opf)})
+
+
+def fix_cover(content: bytes, title: str | None = None, author: str | None = None) -> bytes:
+    """The archive with its cover declared as readers look for it; as it is if all is in order or there is none."""
+    a = Archive(content)
+    found = a.cover()
+    if not found or not _declared(a, found[0], image_type(a.zip.read(found[0])), title, author, True):
+        return content
+    return rewrite(content, {a.opf_name: _document(a.opf)})
+
+
+def covered(df: DataFrame, image: bytes | None = None) -> DataFrame:
+    """``(path, content)``: every archive with ``image`` as its cover or, without one, its own declared."""
+
+    def run(frames):
+        for frame in frames:
+            yield pd.DataFrame({"path": frame["path"], "content": [fix_cover(c) if image is None else replace_cover(c, image) for c in frame["content"]]})
+
+    return df.select("path", "content").mapInPandas(run, "path string, content binary")
+
+
+#: How images of each type begin.
+IMAGE_STARTS = [(b"\xff\xd8\xff", "image/jpeg"), (b"\x89PNG\r\n\x1a\n", "image/png"), (b"GIF87a", "image/gif"), (b"GIF89a", "image/gif"), (b"BM", "image/bmp"), (b"II*\0", "image/tiff"), (b"MM\0*", "image/tiff")]
+
+
+def image_type(data: bytes) -> str | None:
+    """The media type that the first bytes tell."""
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        return "image/webp"
+    return next((kind for start, kind in IMAGE_STARTS if data.startswith(start)), None)
+
+
+def make_archive(title: str, author: str | None, language: str | None, version: str | None, chapters: list[list[str]]) -> bytes:
+    """An archive of chapters, each a list of paragraphs as markup; what is null is left out of the package."""
+    from xml.sax.saxutils import escape
+
+    item = lambda n: f'<item id="c{n}" href="text/{n:05d}.xhtml" media-type="application/xhtml+xml"/>'
+    named = "".join(f"<dc:{k}>{escape(v)}</dc:{k}>" for k, v in (("title", title), ("creator", author), ("language", language)) if v)
+    opf = f'<package xmlns="http://www.idpf.org/2007/opf" version="{escape(version or "2.0")}"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/">{named}</metadata><manifest>{"".join(item(n) for n in range(len(chapters)))}</manifest><spine>{"".join(f"""<itemref idref="c{n}"/>""" for n in range(len(chapters)))}</spine></package>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("mimetype", "application/epub+zip", zipfile.ZIP_STORED)
+        z.writestr("META-INF/container.xml", '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container" version="1.0"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>')
+        z.writestr("OEBPS/content.opf", opf)
+        for n, paragraphs in enumerate(chapters):
+            z.writestr(f"OEBPS/text/{n:05d}.xhtml", f'<html xmlns="{xhtml.XHTML}"><head><title>{n}</title></head><body>{"".join(paragraphs)}</body></html>')
+    return out.getvalue()
+
+
+def build_archives(books: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """``(path, content)``: ``<book_id>.epub`` for every book of ``books(book_id, title, author, book_lang, epub_version)``
+    with paragraphs in ``paragraphs(book_id, chapter_idx, para_idx, tag, text)``. An archive is one file, so
+    a book's paragraphs meet in one row."""
+    chapters = paragraphs.groupBy("book_id", "chapter_idx").agg(F.array_sort(F.collect_list(F.struct("para_idx", "tag", "text"))).alias("ps"))
+    held = chapters.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("chapter_idx", "ps"))).alias("cs"))
+    joined = books.select("book_id", "title", "author", "book_lang", "epub_version").join(held, "book_id")
+
+    def run(frames):
+        from xml.sax.saxutils import escape
+
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                marked = [[f"<{p['tag'] or 'p'}>{escape(p['text'])}</{p['tag'] or 'p'}>" for p in c["ps"]] for c in row.cs]
+                out.append((f"{row.book_id}.epub", make_archive(row.title or "", row.author, row.book_lang, row.epub_version, marked)))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    return joined.mapInPandas(run, "path string, content binary")
 
 
 def split_anthology(content: bytes, prefix: str, title: str) -> bytes:

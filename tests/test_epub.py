@@ -73,6 +73,36 @@ def test_covers(spark, folder):
     assert epub.image_size(b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08\x00\x05\x00\x06\x03") == (6, 5)
 
 
+def test_cover_page(spark):
+    page = b'<html xmlns="http://www.w3.org/1999/xhtml"><body><svg xmlns="http://www.w3.org/2000/svg" xmlns:xlink="http://www.w3.org/1999/xlink" width="100%" viewBox="0 0 3 5"><image width="3" height="5" xlink:href="images/cover.png"/></svg><img src="images/other.png" width="3"/></body></html>'
+    raw = book(items='<item id="cp" href="cover.xhtml" media-type="application/xhtml+xml"/>', extra={"cover.xhtml": page, "images/other.png": png()})
+    a = epub.Archive(raw)
+    name = a.cover()[0]
+    assert [(n, len(shown)) for n, _, shown in a.cover_pages(name)] == [("cover.xhtml", 1)]
+    new = epub.Archive(epub.replace_cover(raw, png(9, 8)))
+    root = new.zip.read("cover.xhtml").decode()
+    assert 'viewBox="0 0 9 8"' in root and 'width="100%"' in root and 'width="9"' in root and 'height="8"' in root and 'width="3"' in root
+    fixed = epub.Archive(epub.fix_cover(raw, "New title", "Someone"))
+    assert fixed.cover()[2] == "meta" and fixed.first("title") == "New title" and any(e.get("href", "").endswith("cover.xhtml") and e.get("type") == "cover" for e in fixed.opf.iter())
+    again = epub.fix_cover(epub.fix_cover(raw))
+    assert epub.fix_cover(again) == again
+    with pytest.raises(ValueError):
+        epub.replace_cover(raw, b"no image")
+    dead = epub.Archive(book(meta='<meta name="cover" content="gone"/>', items='<item id="gone" href="missing.png" media-type="image/png"/>'))
+    assert dead.cover()[0] == "images/cover.png"
+    df = spark.createDataFrame([("a/1.epub", bytearray(raw))], "path string, content binary")
+    assert epub.read_covers(epub.covered(df, png(2, 2))).first()["content"] == png(2, 2) and epub.read_covers(epub.covered(df)).first()["how"] == "meta"
+
+
+def test_archives_of_tables(spark):
+    books = spark.createDataFrame([(7, None, None, None, None), (8, "B & C", "X", "de", "3.0")], "book_id bigint, title string, author string, book_lang string, epub_version string")
+    rows = spark.createDataFrame([(7, 3, 1, "p", "a < b & c"), (7, 3, 0, "h2", "T"), (7, 9, 0, None, "z"), (8, 0, 0, "p", " ")], "book_id bigint, chapter_idx int, para_idx int, tag string, text string")
+    held = epub.build_archives(books, rows)
+    assert {tuple(r) for r in epub.read_paragraphs(held).select("path", "chapter_idx", "para_idx", "tag", "text").collect()} == {("7.epub", 0, 0, "h2", "T"), ("7.epub", 0, 1, "p", "a < b & c"), ("7.epub", 1, 0, "p", "z")}
+    meta = {r["path"]: (r["title"], r["author"], r["language"], r["epub_version"], r["word_count"]) for r in epub.read_meta(held).collect()}
+    assert meta == {"7.epub": ("7", "Unknown", "en", "2.0", 7), "8.epub": ("B & C", "X", "de", "3.0", 0)}
+
+
 def test_writing(spark, folder, tmp_path):
     df = epub.archives(spark, folder).filter("path not like '%bad%'")
     rows = epub.read_paragraphs(df).selectExpr("path", "chapter_idx", "para_idx", "if(para_idx = 1, '<p>broken', concat('<', tag, '>Х & ', para_idx, '</', tag, '>')) as xhtml")
@@ -107,7 +137,9 @@ def test_notes(epub3):
     items = [e for e in one.iter() if e.get("class") == xhtml.ITEM]
     assert [e.get("id") for e in items] == ["reader-note-1", "reader-note-2"] and "paper" in "".join(items[0].itertext())
     assert (xhtml.local(items[0]) == "aside") is epub3 and any(e.get("class") == xhtml.BLOCK for e in one.iter()) is not epub3
+    assert sum(e.get("id") == xhtml.STYLE_ID for e in one.iter()) == 1 and not any(e.get("id") == xhtml.STYLE_ID for e in two.iter())
     assert xhtml.inject([one], [("Облако", "n", "cloud")], epub3, "all") == ["Облако"] * 2
+    assert sum(e.get("id") == xhtml.STYLE_ID for e in one.iter()) == 1
 
 
 def test_anthology(spark):
