@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,15 +33,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, so that later stages neither
-    recompute it nor depend on any executor that made it. Spark removes it when nothing refers to it any
-    more, if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set; else ``clean`` does at the end."""
+    """``df`` written as a table into the shared checkpoint folder and read back, so that later stages neither
+    recompute it nor depend on any executor that made it. It is computed once (a checkpoint would compute its
+    last stage twice), and its size is known to the planner. The order of its rows is not kept: ``pinned``
+    keeps it. ``clean`` removes what was written."""
+    place = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint: rows keep their partitions and their order in them."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def clean(spark: SparkSession) -> None:
-    """Removes this application's checkpoints. Frames that were read from them can no longer be used."""
+    """Removes this application's tables and checkpoints. Frames that were read from them can no longer be used."""
     place = spark.sparkContext.getCheckpointDir()
     if place is not None:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
