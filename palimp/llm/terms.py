@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimp.plans.durable import durable, meet
+from palimp.plans.durable import durable, meet, pinned
 
 #: A maximal run of letters; one apostrophe or hyphen between two letters belongs to it.
 TERM = r"\p{L}+(?:['’-]\p{L}+)*"
@@ -65,7 +65,7 @@ def dictionary(blocks: DataFrame) -> DataFrame:
 
     The distinct terms are ordered across partitions; a partition's first identifier is the number of
     terms before it, told by one count per partition."""
-    terms = durable(blocks.filter("term is not null").select("term").distinct().repartitionByRange("term").sortWithinPartitions("term"))
+    terms = pinned(blocks.filter("term is not null").select("term").distinct().repartitionByRange("term").sortWithinPartitions("term"))
 
     def sizes(batches):
         n = sum(batch.num_rows for batch in batches)
